@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import bpe, chat_format, gif, packing, quality_rules
 from .common import table
 
 
@@ -11,6 +11,9 @@ def _documents(op):
 
 
 QUERIES = {
+    "op2_bpe": _documents(bpe.op2),
+    "op3_gif": _documents(gif.op3),
+    "op4_best_fit_packing": _documents(packing.op4),
     "op5_chat_format": lambda spark, d: chat_format.op5(table(spark, d, "conversations")),
     "op10_quality_rules": _documents(quality_rules.op10),
 }
