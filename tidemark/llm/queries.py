@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, gif, packing, quality_rules
+from . import bpe, chat_format, gif, near_dedup, packing, quality_rules
 from .common import table
 
 
@@ -11,6 +11,7 @@ def _documents(op):
 
 
 QUERIES = {
+    "op1_near_dedup": _documents(near_dedup.op1),
     "op2_bpe": _documents(bpe.op2),
     "op3_gif": _documents(gif.op3),
     "op4_best_fit_packing": _documents(packing.op4),
@@ -19,6 +20,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op5_chat_format": chat_format.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
