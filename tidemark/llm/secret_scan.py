@@ -78,9 +78,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
     capital = F.upper(F.regexp_replace(b64, "[^A-Za-z2-7]", ""))
     name = pick(1, "password", "passwd", "token", "secret", "api_key", "auth_key")
     joint = pick(2, "=", " = ", ": ", "='", " = \"")
-    slug = F.concat_ws(pick(3, "-", "_", "/"), pick(4, "index", "user", "content", "default", "table"),
-                       pick(5, "function", "export", "string", "image", "config"), pick(6, "value", "example", "list", "returning", "number"),
-                       pick(7, "page", "name", "testing", "data", "class"))
+    sep = pick(3, "-", "_", "/")
+    slug = F.concat(pick(4, "index", "user", "content", "default", "table"), sep,
+                    pick(5, "function", "export", "string", "image", "config"), sep,
+                    pick(6, "value", "example", "list", "returning", "number"), sep,
+                    pick(7, "page", "name", "testing", "data", "class"))
     plain = pick(8, "some words, ", "then the thing ", "in ", "", "with a ")
     word = pick(9, "required", "optional", "string or null", "changeme", "your_password", "example123", "${SECRET}", "xxxxxxxxxx")
     lit = F.lit
