@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, gif, near_dedup, packing, pii, quality_rules, secret_scan
+from . import bpe, chat_format, gif, near_dedup, packing, pii, quality_rules, secret_scan, toxicity
 from .common import table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_best_fit_packing": _documents(packing.op4),
     "op5_chat_format": lambda spark, d: chat_format.op5(table(spark, d, "conversations")),
     "op6_secret_scan": _documents(secret_scan.op6),
+    "op7_toxicity": lambda spark, d: toxicity.op7(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_pii": _documents(pii.op9),
     "op10_quality_rules": _documents(quality_rules.op10),
 }
