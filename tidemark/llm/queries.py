@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, gif, near_dedup, packing, pii, quality_rules, secret_scan, toxicity
+from . import bpe, chat_format, gif, near_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, toxicity
 from .common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op5_chat_format": lambda spark, d: chat_format.op5(table(spark, d, "conversations")),
     "op6_secret_scan": _documents(secret_scan.op6),
     "op7_toxicity": lambda spark, d: toxicity.op7(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op8_substring_dedup": _documents(substring_dedup.op8),
     "op9_pii": _documents(pii.op9),
     "op10_quality_rules": _documents(quality_rules.op10),
 }
@@ -25,5 +26,6 @@ QUERIES = {
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
     "op5_chat_format": chat_format.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
