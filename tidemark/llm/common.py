@@ -49,3 +49,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def words(text: Column) -> Column:
     """The words of a text: runs of anything but SPACE."""
     return F.array_remove(F.split(text, SPACE, -1), "")
+
+
+def sealed(d: DataFrame, *columns: Column | str) -> DataFrame:
+    """d.select(*columns), so that no later filter moves below it: the optimizer would put the expressions of a long
+    chain of projections into the filter, and into each other, and compute them many times over."""
+    return d.select(F.inline(F.array(F.struct(*columns))))

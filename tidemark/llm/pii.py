@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, sealed
 from .spans import found, luhn
 from .trees import boosted, threshold
 
@@ -186,7 +186,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.filter("_good", lambda x: clear(x) & first(x)),
         lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")),
     )
-    return d.withColumn("spans", F.sort_array(F.concat("base", added))).select("doc_id", "text", "base", "spans")
+    return sealed(d, "doc_id", "text", "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def _said(spans: str) -> Column:

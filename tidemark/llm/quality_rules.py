@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, words
+from .common import keyed, sealed, words
 
 #: Phrases that mark a line as boilerplate, in lower case.
 BOILERPLATE = (
@@ -130,7 +130,8 @@ def judged(
     d = d.withColumn("left_chars", F.aggregate("left", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = F.col("line_chars") - F.col("left_chars")
-    return d.select(
+    return sealed(
+        d,
         "doc_id",
         "n_words",
         "word_chars",

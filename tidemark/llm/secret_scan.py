@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sealed
 from .spans import found
 from .trees import forest, threshold
 
@@ -157,7 +158,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         score(lambda i: F.get(x["f"], F.lit(i))).alias("score"),
     ))
     d = d.withColumn("_scored", scored).drop("_own")
-    return d.select("doc_id", "text", F.transform("_scored", lambda x: F.struct(
+    return sealed(d, "doc_id", "text", F.transform("_scored", lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.round(x["score"], 6).alias("score"),
         (x["score"] >= least).alias("is_secret"))).alias("findings"))
 
