@@ -1 +1,42 @@
+"""Fields that arrive as a stream: cells of an event stream by day, and lineage carried from batch to batch."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.link import Lineage, containment_pairs, object_table
+
+
+def day_cells(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Cells (window start, y, x) of an event stream with the number and sum of events, late rows up to `late`."""
+    keys = [F.window("ts", "1 day").alias("day"), (F.col("user_id") % 12).cast("int").alias("y"), (F.col("event_id") % 24).cast("int").alias("x")]
+    return events.withWatermark("ts", late).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+
+
+def lineage_batches(sink: Callable[[DataFrame, int], None], contain_thresh: float = 0.3, alpha: float = 0.5):
+    """A foreachBatch function for labelled cells (t, z, y, x, label) that arrive in the order of t, a whole time in one
+    batch: it gives each batch's (t, label, event) to the sink. What it keeps are the last time's cells and events."""
+    fold, last = Lineage(contain_thresh, alpha), []
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        cells = batch.select("t", "z", "y", "x", "label").persist()
+        both = cells.unionByName(last[0]) if last else cells
+        new = cells.select("t").distinct()
+        objects = object_table(cells).collect()
+        pairs = containment_pairs(both).join(new, "t").collect()
+        names = []
+        for t in sorted({r["t"] for r in objects}):
+            objs = {r["label"]: (r["n"], r["w"]) for r in objects if r["t"] == t}
+            near = [(r["label"], r["prev"], r["n"], r["w"]) for r in pairs if r["t"] == t]
+            names += [(t, b, e) for b, e in fold.step(t, objs, near).items()]
+        if names:
+            latest = max(n[0] for n in names)
+            last[:] = [cells.filter(F.col("t") == latest).checkpoint()]
+            sink(spark.createDataFrame(names, "t int, label bigint, event bigint"), number)
+        cells.unpersist()
+
+    return step
