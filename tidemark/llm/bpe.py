@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import keyed
 
-#: Chunks kept by a worker; beyond that, the cache starts anew.
-CACHE = 300_000
+#: White-space separated chunks, and pre-tokens, that a worker keeps. The first ones stay: frequent words come early.
+CHUNKS, PARTS = 250_000, 700_000
 
 
 def default_vocabulary() -> str:
@@ -33,6 +35,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def little(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit numbers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for a tokenizers JSON file of BPE over byte letters with an end-of-word suffix."""
 
@@ -63,6 +73,7 @@ class ForcedBoundaryBPE:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.ascii = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def fragments(self, letters: str) -> list[str]:
         """letters, cut at every place where no token can lie across."""
@@ -75,13 +86,18 @@ class ForcedBoundaryBPE:
             parts = self.ascii.findall(chunk)  # printable ASCII bytes are their own letters
         else:
             parts = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
-        ids: list[int] = []
+        out, known = [], self.parts
         for part in parts:
-            *first, last = self.fragments(part)
-            for x in first:
-                ids += [t.id for t in self.inner.tokenize(x)]
-            ids += [t.id for t in self.final.tokenize(last)]
-        return np.array(ids, "<u4").tobytes()
+            got = known.get(part)
+            if got is None:
+                *first, last = self.fragments(part)
+                ids = [t.id for x in first for t in self.inner.tokenize(x)]
+                ids += [t.id for t in self.final.tokenize(last)]
+                got = little(ids)
+                if len(known) < PARTS and len(part) < 64:
+                    known[part] = got
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _plain(self, text: str) -> list[bytes]:
         try:
@@ -95,10 +111,8 @@ class ForcedBoundaryBPE:
         for chunk in chunks:
             got = cache.get(chunk)
             if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
                 got = self._chunk(chunk) if chunk else b""
-                if len(chunk) < 64:
+                if len(cache) < CHUNKS and len(chunk) < 64:
                     cache[chunk] = got
             out.append(got)
         return out
