@@ -2,7 +2,7 @@
 before it as context and only that reply trainable.
 
 Turns are marked as in `<|im_start|>role\ntext<|im_end|>\n`. Control strings inside roles and texts are escaped with a
-backslash code that no control string contains, so a formatted example can be read back exactly.
+backslash code that no control string contains, so a formatted example can be read back exactly; line ends in roles are escaped, too.
 
 Rows of a conversation meet in one shuffle by conversation; a conversation is a row of the result's size anyway.
 
@@ -34,7 +34,7 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    return _put(_put(_put(text, "\\t", "<"), "\\l", "["), "\\b", "\\")
+    return _put(_put(_put(_put(text, "\\t", "<"), "\\l", "["), "\\n", "\n"), "\\b", "\\")
 
 
 def examples(
@@ -54,7 +54,7 @@ def examples(
     c = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     c = c.select("conv_id", F.transform("t", lambda x: F.struct(
         (x["role"] == target_role).alias("target"),
-        F.concat(F.lit(START), escaped(x["role"]), F.lit("\n")).alias("head"),
+        F.concat(F.lit(START), _put(escaped(x["role"]), "\n", "\\n"), F.lit("\n")).alias("head"),
         escaped(x["text"]).alias("body"),
     )).alias("t"))
     ends = F.filter(
@@ -121,7 +121,7 @@ def _sql() -> str:
     esc = "replace({}, '\\', '\\b')"
     for x in CONTROL:
         esc = f"replace({esc}, '{x}', '{'\\t' if x[0] == '<' else '\\l'}{x[1:]}')"
-    one = f"length('{START}') + length({esc.format('role')}) + 1 + length({esc.format('text')}) + length('{END}')"
+    one = f"length('{START}') + length(replace({esc.format('role')}, chr(10), '\\n')) + 1 + length({esc.format('text')}) + length('{END}')"
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
