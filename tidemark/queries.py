@@ -99,7 +99,7 @@ def _harmonic(spark, d):
     full = spark.range(84).select(F.col("id").cast("int").alias("t")).crossJoin(mask(spark).select("y", "x"))
     filled = full.join(field.drop("n"), ["t", "y", "x"], "left").fillna(0.0, ["v"])
     out = preprocess.decomposed(filled, years)
-    return out.select("t", "y", "x", *[_r(F.col(c) / 1e6, 3).alias(c) for c in ("mean", "trend", "seas", "anom")])
+    return out.select("t", "y", "x", *[(_r(F.col(c) / 1e6, 3) + 0.0).alias(c) for c in ("mean", "trend", "seas", "anom")])
 
 
 def _harmonic_sql() -> str:
@@ -113,8 +113,8 @@ f AS (SELECT a.t, b.y, b.x, coalesce(g.v, 0.0) AS v FROM range(84) a(t), (SELECT
   LEFT JOIN g ON g.t = a.t AND g.y = b.y AND g.x = b.x),
 c AS (SELECT y, x, {', '.join(f'sum(p{k} * v) AS b{k}' for k in range(6))} FROM f JOIN b USING (t) GROUP BY y, x),
 o AS (SELECT t, y, x, v, m0 * b0 AS mean, m1 * b1 AS trend, m2 * b2 + m3 * b3 + m4 * b4 + m5 * b5 AS seas FROM f JOIN b USING (t) JOIN c USING (y, x))
-SELECT t::INT AS t, y::INT AS y, x::INT AS x, round(mean / 1e6, 3) AS mean, round(trend / 1e6, 3) AS trend, round(seas / 1e6, 3) AS seas,
-  round((v - mean - trend - seas) / 1e6, 3) AS anom FROM o"""
+SELECT t::INT AS t, y::INT AS y, x::INT AS x, round(mean / 1e6, 3) + 0 AS mean, round(trend / 1e6, 3) + 0 AS trend, round(seas / 1e6, 3) + 0 AS seas,
+  round((v - mean - trend - seas) / 1e6, 3) + 0 AS anom FROM o"""
 
 
 _GRID = """g AS (SELECT ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::INT AS t, (l_suppkey % 12)::INT AS y, (l_partkey % 24)::INT AS x,
