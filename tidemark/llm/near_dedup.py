@@ -3,8 +3,9 @@
 1. One pass over the texts gives each document its set of word shingles (hashed to 64 bits), a MinHash signature and
    band keys. Documents with equal sets are one class from here on, stood for by the least id.
 2. Classes that share a band key are candidates. A bucket never becomes all pairs: first, every member is compared with
-   the bucket's least member; the confirmed links are closed to components; then only pairs of a bucket that lie in
-   different components are compared. So no link that could join two components is lost.
+   the bucket's least member; the confirmed links are closed to components; then, of buckets that
+   hold several components, the members are compared across components, by an exact prefix filter on their sets. So no
+   link that could join two components is lost.
 3. Candidates are compared by batches of signature bytes. A pair is dropped as soon as the posterior probability that
    its similarity reaches the threshold, given the matches so far, falls below `miss`. Survivors are confirmed exactly
    on their full sets.
@@ -32,6 +33,8 @@ from .hashing import mix, runs, text_batches, words
 BANDS, ROWS = 40, 5
 BATCH = 40
 MISS = 1e-6
+#: Ids of documents in candidate pairs that are broadcast (8 MB); more of them are joined by a shuffle of the texts.
+IDS = 1_000_000
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -135,10 +138,10 @@ def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) ->
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a, b whose full sets are similar enough. Only texts of documents in pairs are kept; the shuffle of texts
-    by id serves both sides."""
+    """Pairs a, b (stored) whose full sets are similar enough. Only texts of documents in pairs are shuffled, as long as
+    the ids are few enough to be broadcast."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = texts.join(ids, "doc_id")
+    own = _of(texts, ids)
     side = lambda x: own.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -160,6 +163,39 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids (stored): map-side as long as the ids are few enough to be broadcast."""
+    return texts.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc_id", "left_semi")
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """rest (stored): doc_id, n, own. The pairs a, b of different components that can reach the threshold: of both sets,
+    taken in the order of how many of these documents hold a shingle, the first part that the threshold allows to
+    miss must have a shingle in common. Exact, and edits of copies being rare, they fill the first parts; a shingle
+    that only one component has there gives no pairs."""
+
+    def run(batches):
+        for b in batches:
+            for at, part in text_batches(b.column(1)):
+                sets = [x.astype(np.int64) for x in shingle_sets(part, size)]
+                yield pa.record_batch([b.column(0).slice(at, len(part)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    sets = _of(texts, rest.select("doc_id")).mapInArrow(run, f"doc_id {kind}, h array<bigint>")
+    each = stored(sets.select("doc_id", F.explode("h").alias("h")), "shingles")
+    often = each.groupBy("h").agg(F.count("*").alias("df"))
+    first = each.join(often, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    allowed = F.size("s") - F.floor((F.size("s") * percent + 99) / 100).cast("int") + 1
+    first = first.select("doc_id", F.explode(F.filter(F.slice("s", F.lit(1), allowed), lambda x: x["df"] > 1)["h"]).alias("h"))
+    first = stored(first.join(rest, "doc_id"), "prefixes")
+    mixed = first.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("h")
+    first = first.join(mixed, "h")
+    side = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "own")])
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    pairs = side("a").join(side("b"), "h").filter(f"doc_id_a < doc_id_b AND own_a <> own_b AND {near}")
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80,
             miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents whose shingle sets have a Jaccard similarity of at least
@@ -189,10 +225,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         "key", "doc_id", "n", "lead", F.coalesce("component", "doc_id").alias("own")
     )
     mixed = labelled.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
-    rest = stored(labelled.join(mixed, "key").filter("doc_id <> lead"), "mixed")
-    a = rest.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    b = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
-    second = a.join(b, "key").filter(f"a < b AND own_a <> own_b AND {near}").select("a", "b")
+    rest = labelled.join(mixed, "key").filter("doc_id <> lead").select("doc_id", "n", "own")
+    second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest"), texts, shingle, percent)
     more = links(second, "rest")
     whole = components(found.unionByName(more))
     out = s.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
