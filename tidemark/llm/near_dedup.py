@@ -19,6 +19,7 @@ are one node; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,8 @@ from .hashing import mix, runs, text_batches, words
 
 BANDS, ROWS = 40, 5
 BATCH = 40
+#: Bits of a sketch.
+SKETCH = 192
 MISS = 1e-6
 #: Ids of documents in candidate pairs that are broadcast (8 MB); more of them are joined by a shuffle of the texts.
 IDS = 1_000_000
@@ -168,31 +171,55 @@ def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc_id", "left_semi")
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+@lru_cache(maxsize=8)
+def most_differences(percent: int, miss: float) -> int:
+    """How many of SKETCH one-bit hashes may differ: more have a probability below miss at the threshold. Two bits differ
+    if the hashes do, and then once in two."""
+    p, chance, over = (1 - percent / 100) / 2, [], 0.0
+    for k in range(SKETCH + 1):
+        chance.append(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k))
+    for k in range(SKETCH, 0, -1):
+        over += chance[k]
+        if over >= miss:
+            return k
+    return 0
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """rest (stored): doc_id, n, own. The pairs a, b of different components that can reach the threshold: of both sets,
     taken in the order of how many of these documents hold a shingle, the first part that the threshold allows to
-    miss must have a shingle in common. Exact, and edits of copies being rare, they fill the first parts; a shingle
-    that only one component has there gives no pairs."""
+    miss must have a shingle in common, and the places of the first common one bound what can be shared. Edits of
+    copies being rare, they fill the first parts; a shingle that only one component has there gives no pairs. One-bit
+    sketches drop pairs far below the threshold within the join."""
 
     def run(batches):
         for b in batches:
             for at, part in text_batches(b.column(1)):
-                sets = [x.astype(np.int64) for x in shingle_sets(part, size)]
-                yield pa.record_batch([b.column(0).slice(at, len(part)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h"])
+                sets = shingle_sets(part, size)
+                bits = [np.packbits(mix(signature(x).astype(_U)).astype(np.uint8)[:SKETCH] & 1).view(np.int64) for x in sets]
+                yield pa.record_batch(
+                    [b.column(0).slice(at, len(part)), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64())),
+                     *[pa.array([int(x[k]) for x in bits], pa.int64()) for k in range(3)]],
+                    ["doc_id", "h", "s0", "s1", "s2"],
+                )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sets = _of(texts, rest.select("doc_id")).mapInArrow(run, f"doc_id {kind}, h array<bigint>")
-    each = stored(sets.select("doc_id", F.explode("h").alias("h")), "shingles")
+    bits = ["s0", "s1", "s2"]
+    sets = stored(_of(texts, rest.select("doc_id")).mapInArrow(run, f"doc_id {kind}, h array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "sets")
+    each = sets.select("doc_id", *bits, F.explode("h").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("df"))
-    first = each.join(often, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = each.join(often, "h").groupBy("doc_id", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     allowed = F.size("s") - F.floor((F.size("s") * percent + 99) / 100).cast("int") + 1
-    first = first.select("doc_id", F.explode(F.filter(F.slice("s", F.lit(1), allowed), lambda x: x["df"] > 1)["h"]).alias("h"))
-    first = stored(first.join(rest, "doc_id"), "prefixes")
+    first = first.select("doc_id", *bits, F.posexplode(F.slice("s", F.lit(1), allowed)).alias("at", "e")).filter("e.df > 1")
+    first = stored(first.select("doc_id", *bits, "at", "e.h").join(rest, "doc_id"), "prefixes")
     mixed = first.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("h")
     first = first.join(mixed, "h")
-    side = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "own")])
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    pairs = side("a").join(side("b"), "h").filter(f"doc_id_a < doc_id_b AND own_a <> own_b AND {near}")
+    side = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "own", "at", *bits)])
+    differ = " + ".join(f"bit_count({k}_a ^ {k}_b)" for k in bits)
+    pairs = side("a").join(side("b"), "h").filter(
+        f"doc_id_a < doc_id_b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        f" AND {100 + percent} * least(n_a - at_a, n_b - at_b) >= {percent} * (n_a + n_b) AND {differ} <= {most_differences(percent, miss)}"
+    )
     return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
@@ -226,7 +253,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
     mixed = labelled.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
     rest = labelled.join(mixed, "key").filter("doc_id <> lead").select("doc_id", "n", "own")
-    second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest"), texts, shingle, percent)
+    second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest"), texts, shingle, percent, miss)
     more = links(second, "rest")
     whole = components(found.unionByName(more))
     out = s.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
