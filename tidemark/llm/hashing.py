@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def _power(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, n + 1 of each."""
     if len(_powers[0]) <= n:
         size = 1 << int(n).bit_length()
@@ -48,9 +48,9 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
     change = np.flatnonzero(space[1:] != space[:-1]) + 1
     bounds = np.concatenate([[0], change]) if len(raw) and not space[0] else change
     start, end = bounds[0::2], bounds[1::2]
-    powers, inverses = _power(len(raw))
+    up, inverses = powers(len(raw))
     total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_BYTE[raw] * powers[: len(raw)], out=total[1:])
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
     hashes = mix((total[end] - total[start]) * inverses[start] + (end - start).astype(_U))
     return hashes, start, end, np.searchsorted(start, edge)
 
@@ -80,3 +80,11 @@ def text_batches(texts, most: int = 1 << 20):
         size += len(raw)
     if part:
         yield first, part
+
+
+def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for the words of each span."""
+    up, inverses = powers(len(hashes))
+    total = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[start]) * inverses[start] + (end - start).astype(_U))

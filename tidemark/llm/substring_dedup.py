@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, stored
-from .hashing import mix, runs, text_batches, words
+from .hashing import mix, runs, spans, text_batches, words
 
 SIZE, GRAM = 20, 8
 #: Segments that a shard holds on average, and the places from which on an anchor is dealt by window.
-SHARD, HEAVY = 4000, 1000
+SHARD, HEAVY = 4000, 20_000
 _U = np.uint64
 
 
@@ -108,13 +108,19 @@ def _segments(d: DataFrame, size: int, shards: int) -> DataFrame:
                     low, high = _runs_of(anchor)
                     signed = grams[anchor[low]].astype(np.int64)
                     pick = np.isin(signed, keys)
+                    low, high, signed = low[pick], high[pick], signed[pick]
+                    dense = np.array([heavy[g] for g in signed.tolist()], bool)
+                    if dense.any():  # a segment for each window
+                        times = np.where(dense, high - low + 1, 1)
+                        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        low, signed, dense = np.repeat(low, times) + step, np.repeat(signed, times), np.repeat(dense, times)
+                        high = np.where(dense, low, np.repeat(high, times))
+                    k1 = spans(own, low, high + size).astype(np.int64)
+                    k2 = spans(mix(own + _U(1)), low, high + size).astype(np.int64)
+                    shard = (mix(np.where(dense, signed ^ k1, signed).astype(_U)) % _U(shards)).astype(np.int64)
                     split = text.split()
-                    for s, e, g in zip(low[pick].tolist(), high[pick].tolist(), signed[pick].tolist(), strict=True):
-                        for x, y in ((i, i) for i in range(s, e + 1)) if heavy[g] else ((s, e),):
-                            cut = own[x : y + size]
-                            k1, k2 = _fingerprint(cut)
-                            shard = int(mix(np.array([g ^ k1 if heavy[g] else g], np.int64).astype(_U))[0] % _U(shards))
-                            rows.append((at + k, f1, f2, x, k1, k2, shard, b" ".join(split[x : y + size])))
+                    for x, y, *key in zip(low.tolist(), high.tolist(), k1.tolist(), k2.tolist(), shard.tolist(), strict=True):
+                        rows.append((at + k, f1, f2, x, *key, b" ".join(split[x : y + size])))
                 if rows:
                     c = list(zip(*rows, strict=True))
                     kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
