@@ -2,6 +2,7 @@
 and clashing extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -186,6 +187,32 @@ def test_local_search_empties_bins():
     assert sum((Counter({x: k * n for x, k in items}) for n, items in better), Counter()) == Counter({4: 2, 3: 4})
 
 
+@pytest.mark.parametrize("n", [3, 300, 300_000])
+def test_local_search_takes_up_all_equal_bins(n):
+    counts = {819: 2 * n, 614: 4 * n}
+    groups = packing.best_fit(counts)
+    assert sum(k for k, _ in groups) == n + 4 * n // 3
+    better = packing.local_search(groups)
+    assert sum(k for k, _ in better) == 2 * n
+    assert sum((Counter({x: each * k for x, each in items}) for k, items in better), Counter()) == Counter(counts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_leaves_no_step(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.choice([*range(11, 34)]) for _ in range(1500))
+    got = packing.local_search(packing.best_fit(counts, 50), 50)
+    bins = Counter()
+    for n, items in got:
+        bins[tuple(sorted(x for x, each in items for _ in range(each)))] += n
+    assert sum((Counter({x: each * n for x, each in items}) for n, items in got), Counter()) == counts
+    if bins.total() > -(-sum(x * n for x, n in counts.items()) // 50):
+        for a, b in itertools.product(bins, bins):  # from a to b
+            if sum(a) <= sum(b) < 50 and (a != b or bins[a] > 1):
+                given = {*a, *map(sum, itertools.combinations(a, 2))}
+                assert not any(y < x <= y + 50 - sum(b) for x in given for y in (0, *b))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_are_whole(seed):
     rng = random.Random(seed)

@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, then a swap-based local search.
 
 Only the histogram of piece lengths (at most `capacity` rows, whatever the corpus) reaches the driver. There, best fit in
-descending order runs on groups of equal bins rather than on bins; the local search then moves pieces between
-underfull bins, exchanges one for one or two for one, always raising the sum of squared fills, until bins are empty or
-no step helps. The plan that comes out says which ranks of a length go to which bins, so the pieces need only a rank
+descending order runs on groups of equal bins rather than on bins; the local search, on such groups too, then moves
+pieces between underfull bins, exchanges one for one or two for one, always raising the sum of squared fills, until the
+bins are as few as can be or no step helps. The plan that comes out says which ranks of a length go to which bins, so the pieces need only a rank
 within their length; ranks are taken in salted groups of bounded size.
 
 Defined cases: a null or empty text is one piece of one token (the end token); repeated rows are packed one by one;
@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,8 +28,6 @@ CAPACITY = 2048
 #: Pieces that one group of ranks may hold on average.
 RANKED = 100_000
 SALTS = 64
-#: Underfull bins that the local search takes up at a time; the emptiest ones.
-SEARCHED = 200
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY,
@@ -102,64 +101,103 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return [(bins, list(items)) for groups in room.values() for bins, items in groups]
 
 
-def _best_step(source: Counter, target: Counter, free: int) -> tuple[int, tuple, tuple]:
-    """(gain, pieces from source, pieces from target): the move or exchange that fills target most."""
-    best = (0, (), ())
-    own = sorted(source)
-    for y in (0, *target):  # 0: a move, nothing comes back
-        room = free + y
-        i = bisect_left(own, room + 1) - 1
-        if i >= 0 and own[i] - y > best[0]:
-            best = (own[i] - y, (own[i],), (y,) if y else ())
-        if y:
-            low, high = 0, len(own) - 1
-            while low <= high:
-                x, z = own[low], own[high]
-                if x + z > room or (low == high and source[x] < 2):
-                    high -= 1
-                else:
-                    if x + z - y > best[0]:
-                        best = (x + z - y, (x, z), (y,))
-                    low += 1
-    return best
-
-
-def local_search(groups: list, capacity: int = CAPACITY, searched: int = SEARCHED, tries: int = 40_000) -> list:
-    """Takes up the emptiest underfull bins and, always from a bin to one at least as full, moves a piece, exchanges one
-    for a smaller one, or two for one smaller than their sum. Each step raises the sum of squared fills. It ends when
-    the bins are as few as their sum allows, when no step is left, or after `tries` pairs of bins."""
+class _Kind:
+    """Underfull bins of equal items."""
+
+    def __init__(self, items: tuple, fill: int, capacity: int):
+        self.bins, self.items, self.fill, self.free = 0, items, fill, capacity - fill
+        self.sums: dict[int, tuple] = {}  # of one or two pieces, and which
+        self.wanted = 0  # as bits: the sums that raise such a bin as a target
+        for i, (x, k) in enumerate(items):
+            for z, n in ((x, k - 1), *items[i + 1 :]):
+                if n:
+                    self.sums.setdefault(x + z, (x, z))
+        self.sums |= {x: (x,) for x, _ in items}
+        for y in (0, *(x for x, _ in items)):
+            self.wanted |= ((1 << self.free) - 1) << y + 1
+
+
+def local_search(groups: list, capacity: int = CAPACITY) -> list:
+    """On all underfull bins, equal ones together: always to a bin from one at most as full, moves one or two pieces or
+    exchanges them for one smaller than their sum, in as many pairs of such bins as there are; the fullest bins first,
+    each by the step that fills it most, from the emptiest bins. Each step raises the sum of squared fills. It ends when
+    the bins are as few as their sum allows, or when no pair of bins has a step left."""
     fill = lambda items: sum(x * k for x, k in items)
     least = -(-sum(bins * fill(items) for bins, items in groups) // capacity)
     now = sum(n for n, _ in groups)
-    kept, bins = [], []
-    for n, items in sorted(groups, key=lambda g: fill(g[1])):
-        take = min(n, searched - len(bins)) if fill(items) < capacity else 0
-        bins += [[fill(items), Counter(dict(items))] for _ in range(take)]
-        if n > take:
-            kept.append((n - take, items))
-    stepped = True
-    while stepped and now > least and tries > 0:
-        stepped = False
-        bins.sort(key=lambda b: -b[0])
-        for target in bins:
-            for source in reversed(bins):
-                if source is target or not 0 < source[0] <= target[0] < capacity:
-                    continue
-                tries -= 1
-                gain, give, back = _best_step(source[1], target[1], capacity - target[0])
-                if gain > 0:
-                    for a, b, moved in ((source, target, give), (target, source, back)):
-                        for x in moved:
-                            a[1][x] -= 1
-                            b[1][x] += 1
-                            if not a[1][x]:
-                                del a[1][x]
-                    target[0] += gain
-                    source[0] -= gain
-                    stepped = True
-        now -= sum(not b[0] for b in bins)
-        bins = [b for b in bins if b[0]]
-    return kept + [(1, sorted(b.items(), reverse=True)) for _, b in bins]
+    kept: list[tuple[int, list]] = []
+    kinds: dict[tuple, _Kind] = {}
+    holders: dict[int, list] = defaultdict(list)  # sum -> heap of (fill, items) of kinds that have it, or had
+    fresh: list[tuple] = []  # heap of (-fill, items) of kinds whose pairs with others may have a step
+
+    def put(n: int, items: tuple) -> None:
+        kind = kinds.get(items)
+        if kind is None:
+            if (f := fill(items)) >= capacity:
+                kept.append((n, list(items)))
+                return
+            kind = kinds[items] = _Kind(items, f, capacity)
+            for v in kind.sums:
+                heappush(holders[v], (f, items))
+        if kind.bins < 2:  # a second bin makes a new pair, a third doesn't
+            heappush(fresh, (-kind.fill, items))
+        kind.bins += n
+
+    def emptiest(v: int, target: _Kind) -> _Kind | None:
+        heap, own, out = holders.get(v), False, None
+        while heap:
+            f, items = heap[0]
+            if f > target.fill:
+                break
+            if items in kinds and (items != target.items or target.bins > 1):
+                out = kinds[items]
+                break
+            own |= items == target.items and items in kinds
+            heappop(heap)
+        if own:
+            heappush(heap, (target.fill, target.items))
+        return out
+
+    def best_step(target: _Kind) -> tuple | None:
+        own = [0, *(x for x, _ in target.items)]
+        for gain in range(target.free, 0, -1):
+            found = [(k.fill, y, k) for y in own if y + gain in holders and (k := emptiest(y + gain, target))]
+            if found:
+                _, y, source = min(found, key=lambda c: c[:2])
+                return source, source.sums[y + gain], (y,) if y else ()
+        return None
+
+    for n, items in groups:
+        put(n, tuple(sorted(items, reverse=True)))
+    while fresh and now > least:
+        target = kinds.get(heappop(fresh)[1])
+        if target is None:
+            continue
+        step = best_step(target)
+        if step is None:  # as a source, it may serve fuller bins that were looked at before
+            sums = sum(1 << v for v in target.sums)
+            for k in kinds.values():
+                if k.wanted & sums and k.fill >= target.fill and k is not target:
+                    heappush(fresh, (-k.fill, k.items))
+            continue
+        source, give, back = step
+        times = target.bins // 2 if source is target else min(source.bins, target.bins)
+        for kind in (source, target):
+            kind.bins -= times
+        for kind in {source, target}:
+            if not kind.bins:
+                del kinds[kind.items]
+        if target.bins:
+            heappush(fresh, (-target.fill, target.items))
+        for items, lost, got in ((source.items, give, back), (target.items, back, give)):
+            after = Counter(dict(items))
+            after.subtract(lost)
+            after.update(got)
+            if left := tuple(sorted(((x, k) for x, k in after.items() if k), reverse=True)):
+                put(times, left)
+            else:
+                now -= times
+    return kept + [(k.bins, list(items)) for items, k in kinds.items()]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
