@@ -300,6 +300,18 @@ def test_toxicity_on_held_out_texts():
     assert (toxicity.fit(["a"], [0]).scores(["x", ""]) == 0).all()
 
 
+def test_toxic_words_after_line_ends():
+    rng = random.Random(6)
+    w = ["".join(rng.choice(["ta", "ro", "min", "ke", "lu"]) for _ in range(3)) for _ in range(300)]
+    make = lambda k: " ".join("zorgfoul" if k and rng.random() < 0.08 else rng.choice(w) for _ in range(80))
+    y = [int(i % 4 == 0) for i in range(400)]
+    model = toxicity.fit([make(k) for k in y], y)
+    toxic = [make(1) for _ in range(20)]
+    for mark in "\n\t\r":
+        assert np.array_equal(model.scores([t.replace(" zorgfoul", mark + "zorgfoul") for t in toxic]), model.scores(toxic))
+    assert np.mean(model.scores(toxic) >= 0.5) > 0.9
+
+
 def test_toxicity_query(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0), None) for i in range(20)] + [(None, 1, None), (3, None, None)], "doc_id bigint, toxic int, quality int")
     got = rows_of(toxicity.op7(docs, labels))

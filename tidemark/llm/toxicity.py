@@ -1,9 +1,11 @@
-"""Toxicity by compression distance.
+"""Toxicity by a learned list of word beginnings, matched by compression.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, and one on toxic text, which is the ordinary
-one with the segments added that labelled toxic documents use in many contexts and ordinary ones do not. Every window of
-a text is compressed with both; the toxic dictionary saves bytes only where toxic segments stand. A calibrated logistic
-function of the windows' savings is the score.
+One zstandard dictionary is trained, on windows of ordinary text. The toxic one is not trained by zstandard, as such a
+one doesn't tell toxic texts apart (see the README's figures): it is the ordinary one with the word beginnings added
+that labelled toxic documents use in many contexts and ordinary ones do not. Every window of a text is compressed with
+both; the toxic dictionary saves bytes only where listed segments stand. A calibrated logistic function of the windows'
+savings is the score. What it can't find: toxic phrases of words that are not distinctive one by one, and words of up
+to three letters, which are shorter than the shortest match.
 
 The model is fitted on the driver on at most TOXIC + ORDINARY labelled documents (the least by a hash of their id, each
 up to CHARS characters), so its cost does not grow with the corpus; scoring reads whole texts in one pass without a
@@ -38,9 +40,13 @@ MIN_MATCH = 6
 SAVED = 2
 
 
+#: Any white space is a space, which segments begin with.
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
+
+
 def windows(text: str) -> list[bytes]:
     """The text in lower case, cut after a word every WINDOW bytes or so."""
-    t = b" " + text.lower().encode("utf-8", "surrogatepass")
+    t = b" " + text.lower().encode("utf-8", "surrogatepass").translate(_SPACES)
     out, n, i = [], len(t), 0
     while i < n:
         j = t.find(b" ", i + WINDOW, i + 4 * WINDOW)
@@ -141,7 +147,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples
         base = b"".join(samples)[-BASE_BYTES:].rjust(64)
-    base = base[: len(base) // 3 * 3]
+    base = base[: len(base) // 3 * 3] + b"\0" * 9  # no match runs from the common part into the first segment
     # the compressor's table surely holds every third place of a dictionary, so segments start there; both dictionaries
     # have the common part in the same place
     segments = b"".join((b" " + u).ljust(9, b"\0") for u in sorted(found, key=lambda u: (a[u], u))) + b"\0" * 9
