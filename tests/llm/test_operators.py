@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat_format, common, gif, near_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, toxicity
 from tidemark.llm.components import components
@@ -312,6 +313,19 @@ def test_toxic_words_after_line_ends():
     assert np.mean(model.scores(toxic) >= 0.5) > 0.9
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(7)
+    w = ["".join(rng.choice(["ta", "ro", "min", "ke", "lu"]) for _ in range(3)) for _ in range(300)]
+    make = lambda k: " ".join(rng.choices(w, k=3000)) + " " + " ".join("zorgfoul" if k and i % 5 == 0 else rng.choice(w) for i in range(60))
+    rows = [(i, make(i % 2), i % 2) for i in range(80)]
+    assert min(t.find("zorgfoul") for _, t, k in rows if k) > 18_000
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    d = d.withColumn("text", F.concat(F.repeat(F.lit("taro "), 1000), "text"))
+    model = toxicity.train(d, d)
+    assert b" zorgf" in model.toxic
+    assert toxicity._spread([b"%d" % k for k in range(100)], 4) == [b"12", b"37", b"62", b"87"] and toxicity._spread([b"a"], 4) == [b"a"]
+
+
 def test_toxicity_query(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0), None) for i in range(20)] + [(None, 1, None), (3, None, None)], "doc_id bigint, toxic int, quality int")
     got = rows_of(toxicity.op7(docs, labels))

@@ -7,9 +7,9 @@ both; the toxic dictionary saves bytes only where listed segments stand. A calib
 savings is the score. What it can't find: toxic phrases of words that are not distinctive one by one, and words of up
 to three letters, which are shorter than the shortest match.
 
-The model is fitted on the driver on at most TOXIC + ORDINARY labelled documents (the least by a hash of their id, each
-up to CHARS characters), so its cost does not grow with the corpus; scoring reads whole texts in one pass without a
-shuffle.
+The model is fitted on the driver on at most TOXIC + ORDINARY labelled documents (the least by a hash of their id), so its
+cost does not grow with the number of documents; learning and scoring read whole texts, scoring in one pass without a
+shuffle. Only the common dictionary is trained on a sample: SAMPLED windows of each ordinary text, spread evenly over it.
 
 Defined cases: a null or empty text has no savings and gets the score of a text without toxic windows; without any
 labelled toxic or ordinary document all scores are 0; a null id counts as not held out; repeated rows are scored one by
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import keyed
 
-#: Labelled documents to learn from, at most, and characters of each.
-TOXIC, ORDINARY, CHARS = 1000, 3000, 20_000
+#: Labelled documents to learn from, at most.
+TOXIC, ORDINARY = 1000, 3000
+#: Windows of an ordinary text, spread evenly over it, that the dictionary is trained on, at most.
+SAMPLED = 40
 WINDOW = 64
 #: Letters of a word that make a segment.
 UNIT = 5
@@ -131,7 +133,13 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
+def _spread(parts: list[bytes], most: int) -> list[bytes]:
+    """At most so many of the windows, evenly over all."""
+    n = len(parts)
+    return parts if n <= most else [parts[(2 * k + 1) * n // (2 * most)] for k in range(most)]
+
+
+def fit(texts: list[str], toxic: list[int], sampled: int = SAMPLED) -> Model:
     """A model from labelled texts; two thirds train the dictionaries, the rest calibrates."""
     import zstandard
 
@@ -142,7 +150,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     (bad, bad_rest), (good, good_rest) = cut(bad), cut(good)
     (a, n), (b, m) = _units(bad), _units(good)
     found = [u for u in a if a[u] / n >= 8 * (b[u] + 0.5) / max(m, 1) and _g2(a[u], n, b[u], m) >= 25] if n and m else []
-    samples = [w for t in good[:1500] for w in windows(t)[:40]]
+    samples = [w for t in good for w in _spread(windows(t), sampled)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples
@@ -172,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = l.filter("toxic = 1").orderBy(*order).limit(TOXIC).unionByName(l.filter("toxic = 0").orderBy(*order).limit(ORDINARY))
     # at most TOXIC + ORDINARY rows are broadcast and gathered
-    d = keyed(docs, id_col, text_col).withColumn("text", F.left("text", F.lit(CHARS)))
+    d = keyed(docs, id_col, text_col)
     rows = d.join(F.broadcast(picked), "doc_id").orderBy(*order).collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
