@@ -256,6 +256,17 @@ def test_secrets(spark):
     assert 0.5 <= least <= 1 and data.count() == 2000
 
 
+def test_secrets_of_any_length(spark):
+    noise = lambda n: "".join(random.Random(n).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    texts = {(0, n): "key " + noise(n) for n in (512, 513, 200_000)} | {(1, n): "x ghp_" + noise(n) for n in (256, 5000)} | {(2, n): "token=" + noise(n) for n in (257, 5000)}
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = rows_of(secret_scan.op6(df))
+    kinds = {0: "long_token:4", 1: "service_token:2", 2: "assigned:0"}
+    for i, ((kind, _), t) in enumerate(texts.items()):
+        said = [x for x in (got[i]["secrets"], got[i]["false_positives"]) if x]
+        assert said == [f"{kinds[kind]}:{len(t)}"]
+
+
 def brute_spans(t):
     out = []
     for rank, (kind, p) in enumerate([

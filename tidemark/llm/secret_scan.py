@@ -23,9 +23,9 @@ TRAINING = 6000
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "service_token": r"(?<![A-Za-z0-9_-])(?:ghp_|gho_|glpat-|xox[abp]-|sk-|hf_)[A-Za-z0-9_-]{16,255}",
-    "assigned": r"(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|auth[_-]?key|private[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"'<>]{6,256}",
-    "long_token": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,512}+={0,2}(?![A-Za-z0-9+/_=-])",
+    "service_token": r"(?<![A-Za-z0-9_-])(?:ghp_|gho_|glpat-|xox[abp]-|sk-|hf_)[A-Za-z0-9_-]{16,}+",
+    "assigned": r"(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|auth[_-]?key|private[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"'<>]{6,}+",
+    "long_token": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 #: Words that cover parts of ordinary identifiers, paths and placeholders.
 COMMON = ("the|and|for|with|from|this|that|tion|ing|ment|able|get|set|value|name|file|test|data|user|class|function|return|"
