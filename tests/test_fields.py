@@ -4,10 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import boundary, components, filters, link, measures, morphology, preprocess
 from tidemark.plans import SurfaceTracker, VolumeTracker
-from tidemark.sources import Grid, find_member, from_array, is_periodic, member_files, member_pair
+from tidemark.operators.graph import ranked
+from tidemark.sources import Grid, find_member, from_array, is_periodic, member_files, member_pair, read_fields, write_fields
 
 
 def cells(spark, a):
@@ -217,6 +219,137 @@ def test_quantile_and_nan(spark):
     assert ingest(spark.createDataFrame([(0, 0, 0, math.nan), (0, 0, 1, 1.0), (0, 0, 2, None)], "t int, y int, x int, v double")).count() == 1
 
 
+def by_rounds(pairs):
+    """The merge as it is said: label by label of the first column, every row looked at again."""
+    now = {x: x for p in pairs for x in p}
+    for value in sorted({a for a, _ in pairs}):
+        gone = {now[b] for a, b in pairs if now[a] == value}
+        for x in now:
+            if now[x] in gone:
+                now[x] = value
+    return {x: n for x, n in now.items() if n != x}
+
+
+def test_ordered_merge_equals_rounds():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(2, 14))
+        pairs = list({tuple(map(int, p)) for p in rng.integers(1, n + 1, (int(rng.integers(1, 16)), 2))})
+        assert boundary.ordered_merge(pairs) == by_rounds(pairs), pairs
+
+
+def test_merge_and_lineage_by_components(spark):
+    """Dealt by components, both give what one task gives."""
+    rng = np.random.default_rng(9)
+    a = rng.random((5, 8, 9)) < 0.4
+    labels = filters.surface_objects(cells(spark, a), Grid(5, 8, 9), wrap=False)
+    one, many = (as_set(boundary.merged_edges(labels, Grid(5, 8, 9), together=n), "t", "y", "x", "label") for n in (1000, 3))
+    assert one == many
+    b = rng.random((6, 2, 8, 9)) < 0.3
+    objects = components.label_depths(cells(spark, b), Grid(6, 8, 9, z=2)).withColumnRenamed("blob", "label")
+    one, many = (as_set(link.events_of(objects, None, 0.2, together=n), "t", "label", "event") for n in (10_000, 4))
+    assert one == many and len(one) > 20
+
+
+def dense_lineage(a, thresh, first_time=0):
+    """The fold over whole pictures (t, ...) of labels."""
+    masks, out, following = {}, [], 1
+    for t in range(len(a)):
+        labels = sorted(set(np.unique(a[t])) - {0})
+        now = {}
+        if t == first_time:
+            now = {b: int(b) for b in labels}
+            following = max(labels, default=0) + 1
+        else:
+            for b in labels:
+                own = a[t] == b
+                fits = [e for e, m in masks.items() if (n := (own & m).sum()) and max(n / own.sum(), n / m.sum()) > thresh]
+                if fits:
+                    now[b] = min(fits)
+            for b in labels:
+                if b not in now:
+                    now[b], following = following, following + 1
+        masks = {e: np.isin(a[t], [b for b in labels if now[b] == e]) for e in set(now.values())}
+        out += [(t, int(b), int(e)) for b, e in now.items()]
+    return set(out)
+
+
+def test_lineage_equals_dense_fold(spark):
+    rng = np.random.default_rng(11)
+    for k in range(3):
+        a = (rng.random((6, 1, 7, 8)) < 0.45) * rng.integers(1, 6, (6, 1, 7, 8)) * 3
+        if k == 1:
+            a[0] = 0  # an empty first time: the labels of the next one are no ids
+        if k == 2:
+            a[3] = 0
+        got = as_set(link.events_of(table(spark, a), None, 0.25), "t", "label", "event")
+        assert got == dense_lineage(a, 0.25)
+
+
+def test_empty_first_frame_starts_from_one(spark):
+    a = np.zeros((3, 1, 6, 6), int)
+    a[1, 0, 0:2, 0:2], a[1, 0, 4:6, 4:6] = 2, 5
+    assert as_set(link.events_of(table(spark, a)), "label", "event") == {(2, 1), (5, 2)}
+
+
+def test_many_objects_of_a_frame_are_no_quadratic_work(spark):
+    objects = [(t, b, 4, None) for t in (0, 1) for b in range(100_000)]
+    pairs = [(1, b, b, 4, None) for b in range(100_000)]
+    import time
+
+    began = time.time()
+    out = link.fold(objects, pairs, 0.3, 0.5)
+    assert out[1, 99_999] == (0, 99_999) and time.time() - began < 20
+
+
+def test_depths_by_slices(spark):
+    rng = np.random.default_rng(2)
+    a = rng.random((2, 3, 7, 8)) < 0.4
+    grid = Grid(2, 7, 8, z=3)
+    for xy in (True, False):
+        for z in (True, False):
+            one, two = (as_set(components.label_depths(cells(spark, a), grid, xy, z, block=n), "t", "z", "y", "x", "blob") for n in (10**6, 0))
+            assert one == two
+
+
+def test_ranks_of_equal_sizes(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("vol"), F.col("id").alias("label"))
+    got = [(r["vol"], r["label"]) for r in ranked(df, ["vol", "label"]).orderBy("rank").collect()]
+    assert got == sorted(got) and len(got) == 5000
+    assert ranked(df.filter("false"), ["vol", "label"]).count() == 0
+
+
+def test_masks_of_one_object(spark):
+    labels = spark.createDataFrame([(0, 1, 1, 4), (1, 1, 1, 4), (1, 1, 2, 4), (2, 1, 1, 5)], "t int, y int, x int, label bigint")
+    field = spark.createDataFrame([(0, 1, 1, 2.0), (1, 1, 1, -1.0), (1, 1, 2, 3.0), (2, 1, 1, 4.0)], "t int, y int, x int, v double")
+    own, values = measures.object_masks(labels, field, 4)
+    assert as_set(own, "t", "y", "x") == {(0, 1, 1), (1, 1, 1), (1, 1, 2)}
+    assert as_set(values, "t", "y", "x", "v") == {(0, 1, 1, 2.0), (1, 1, 2, 3.0)}
+    with pytest.warns(UserWarning):
+        assert measures.object_masks(labels, field, 9)[0].count() == 0
+
+
+def test_land(spark):
+    field = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 2.0), (1, 0, 0, 0.0)], "t int, y int, x int, v double")
+    assert as_set(preprocess.build_mask(field, Grid(2, 1, 3)), "y", "x", "valid") == {(0, 0, 0), (0, 1, 1), (0, 2, 1)}
+    assert as_set(preprocess.land_to_null(field), "t", "x") == {(0, 1)}
+    assert preprocess.background_to_null(spark.createDataFrame([(0, 0, 1, 5)], "t int, y int, x int, label int"), Grid(2, 1, 3)).filter("label IS NULL").count() == 5
+
+
+def test_quantile_of_large_events(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(10, 1, (40, 10, 10))
+    labels = from_array(spark, v).drop("v").withColumn("label", F.lit(1))
+    got = measures.intensities(labels, from_array(spark, v), 0.9).filter("t IS NULL").first()
+    assert got["percentile_90_intensity"] == pytest.approx(np.quantile(v, 0.9), rel=1e-12)
+
+
+def test_fields_are_written_and_read(spark, tmp_path):
+    field = from_array(spark, np.arange(24.0).reshape(2, 3, 4))
+    write_fields(field, str(tmp_path / "f"))
+    assert as_set(read_fields(spark, [str(tmp_path / "f")]), "t", "y", "x", "v") == as_set(field, "t", "y", "x", "v")
+
+
 def test_surface_tracker(spark):
     grid = Grid(2, 20, 40)
     a = np.zeros((2, 20, 40))
@@ -226,6 +359,10 @@ def test_surface_tracker(spark):
         t.postprocess()
     with pytest.raises(ValueError):
         SurfaceTracker(from_array(spark, a), mask(spark, grid), grid, method="no")
+    t.track()
+    assert t.n_events() == 1
+    with pytest.raises(RuntimeError):
+        t.event_duration()
     t.run()
     attrs = t.attrs.first().asDict()
     assert t.n_events() == 1 and attrs["percent area reject"] + attrs["percent area accept"] == 1
@@ -266,7 +403,8 @@ def test_shape(spark):
     assert r[0]["complement_to_deformation"] == pytest.approx(shared / (area(range(2, 5), 4) + area(range(3, 6), 4)))
     assert r[1]["deformation"] is None
     # 3 x 4 cells: points cut to whole cells run round the object's border
-    assert measures.perimeter_km(a[0], np.array(lat), np.arange(12) + 0.5) == pytest.approx(r[0]["perimeter"])
+    assert measures.perimeter_km(*np.nonzero(a[0]), np.array(lat), np.arange(12) + 0.5) == pytest.approx(r[0]["perimeter"])
+    assert r[0]["cumulative_spatial_extent"] == pytest.approx(r[0]["spatial_extent"] + r[1]["spatial_extent"])
     assert len(measures.contours(square((4, 4), np.s_[1, 1], np.s_[2, 2]))) == 2  # highs that touch by a corner
     assert len(measures.contours(square((4, 4), np.s_[0:2, 1:3]))) == 1
 

@@ -11,7 +11,7 @@ LAT_KM, LON_KM = 110.574, 111.320
 
 
 def lon_to_360(lon: Column) -> Column:
-    return F.pmod(lon, F.lit(360.0))
+    return F.pmod(lon, F.lit(360.0)) + 0.0  # no negative zero
 
 
 def lon_to_180(lon: Column) -> Column:

@@ -6,12 +6,14 @@ touch. Edge pairs are distinct labels of two columns; only these reach the kerne
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import Grid
-from .graph import connected, numbered
+from .graph import TOGETHER, connected, cut, dealt, numbered
 
 
 def edge_pairs(labels: DataFrame, grid: Grid, keys: list[str], label: str = "label") -> DataFrame:
@@ -23,14 +25,34 @@ def edge_pairs(labels: DataFrame, grid: Grid, keys: list[str], label: str = "lab
 
 def ordered_merge(pairs: list[tuple[int, int]]) -> dict[int, int]:
     """What each label becomes when the labels of the first column, in ascending order, take over those they face. Rows
-    change as soon as a label does."""
-    now: dict[int, int] = {}
-    for value in sorted({a for a, _ in pairs}):
-        gone = {now.get(b, b) for a, b in pairs if now.get(a, a) == value}
-        for label in {x for p in pairs for x in p}:
-            if now.get(label, label) in gone:
-                now[label] = value
-    return now
+    change as soon as a label does. Labels of one name form a group; what a label faces is looked at once, as it then
+    belongs to the label's group for good."""
+    facing: dict[int, list[int]] = defaultdict(list)
+    for a, b in pairs:
+        facing[a].append(b)
+    up = {x: x for p in pairs for x in p}
+    name, members = dict(up), {x: [x] for x in up}  # of each group's root: its name, and its labels of the first column
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    named = dict(up)  # name -> root
+    for value in sorted(facing):
+        own = named.get(value)
+        if own is None:
+            continue
+        gone = {root(b) for a in members[own] for b in facing.pop(a, ())} - {own}
+        for g in gone:
+            del named[name[g]]
+            big, small = (own, g) if len(members[own]) >= len(members[g]) else (g, own)
+            up[small] = big
+            members[big] += members.pop(small)
+            own = big
+        name[own], named[value] = value, own
+    return {x: n for x in up if (n := name[root(x)]) != x}
 
 
 def slice_merge(rows: list[tuple[int, int, int]]) -> dict[int, int]:
@@ -55,22 +77,30 @@ def _renamed(labels: DataFrame, names: DataFrame, keys: list[str], label: str) -
     )
 
 
-def merged_edges(labels: DataFrame, grid: Grid, policy: str = "compat", label: str = "label") -> DataFrame:
-    """Labels merged over the whole field, then numbered anew from 1."""
+def merged_edges(labels: DataFrame, grid: Grid, policy: str = "compat", label: str = "label", together: int = TOGETHER) -> DataFrame:
+    """Labels merged over the whole field, then numbered anew from 1. labels is read several times."""
     pairs = edge_pairs(labels, grid, ["t"], label)
-    pairs = pairs.select("first", "last").distinct()
-    spark = labels.sparkSession
+    pairs = cut(pairs.select("first", "last").distinct())
+    ends = pairs.select(F.col("first").alias("a"), F.col("last").alias("b"))
     if policy == "closure":
-        nodes = labels.select(F.col(label).alias("id")).distinct()
-        names = connected(nodes, pairs.select(F.col("first").alias("a"), F.col("last").alias("b"))).select(F.col("id").alias("old"), F.col("root").alias("new"))
-    else:  # as many pairs as objects touch both edges; the order makes it one pass
-        now = ordered_merge([(r[0], r[1]) for r in pairs.collect()])
-        names = spark.createDataFrame(sorted(now.items()), "old bigint, new bigint")
-    out = _renamed(labels, names, [], label)
+        nodes = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
+        names = connected(nodes, ends).filter("id <> root").select(F.col("id").alias("old"), F.col("root").alias("new"))
+    else:  # labels that no chain of pairs connects don't influence each other
+
+        def run(table: pa.Table) -> pa.Table:
+            now = ordered_merge(list(zip(table.column("first").to_pylist(), table.column("last").to_pylist(), strict=True)))
+            return pa.table([pa.array(list(now), pa.int64()), pa.array(list(now.values()), pa.int64())], ["old", "new"])
+
+        nodes = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
+        rows = pairs.join(dealt(nodes, ends, together).withColumnRenamed("id", "first"), "first")
+        rows = rows.select("bucket", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))
+        names = rows.groupBy("bucket").applyInArrow(run, "old bigint, new bigint")
     # labels are in the order of their first times
-    first = labels.groupBy(label).agg(F.min("t").alias("t0"))
-    again = numbered(out.select(label).distinct().join(first, label), ["t0", label], "again")
-    return out.join(again.select(label, "again"), label).withColumn(label, F.col("again")).select(*labels.columns)
+    first = labels.groupBy(F.col(label).alias("old")).agg(F.min("t").alias("t0"))
+    names = cut(first.join(names, "old", "left").select("old", "t0", F.coalesce("new", "old").alias("new")))
+    left = names.select("new").distinct().join(names.select(F.col("old").alias("new"), "t0"), "new")
+    final = names.drop("t0").join(numbered(left, ["t0", "new"], "again").drop("t0"), "new")
+    return labels.join(final.select(F.col("old").alias(label), "again"), label).withColumn(label, F.col("again")).select(*labels.columns)
 
 
 def merged_slices(labels: DataFrame, grid: Grid, label: str = "label") -> DataFrame:

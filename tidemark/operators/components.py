@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import Grid
-from .graph import connected, numbered
+from .graph import connected, cut, numbered
 from .preprocess import anisotropic_offsets
 
 FOUR = [(0, 0, 1), (0, 1, 0)]
@@ -70,10 +70,30 @@ def label_2d(cells: DataFrame, grid: Grid, connectivity: int = 8) -> DataFrame:
     return labelled(cells, grid, keys, EIGHT if connectivity == 8 else FOUR)
 
 
-def label_depths(cells: DataFrame, grid: Grid, connect_xy: bool = True, connect_z: bool = True) -> DataFrame:
-    """Objects in (z, y, x) of each t; labels start anew at every t."""
+#: Cells of a time's (z, y, x) block that one task labels as a whole.
+BLOCK = 4_000_000
+
+
+def label_depths(cells: DataFrame, grid: Grid, connect_xy: bool = True, connect_z: bool = True, block: int = BLOCK) -> DataFrame:
+    """Objects in (z, y, x) of each t; labels start anew at every t. Times of larger grids are labelled by slices, whose
+    objects are then joined as a graph."""
     offsets = [o for o in anisotropic_offsets(connect_xy, connect_z) if o > (0, 0, 0)]
-    return labelled(cells, grid, ["t"], offsets)
+    if grid.z * grid.y * grid.x <= block:
+        return labelled(cells, grid, ["t"], offsets)
+    at = ["t", "z", "y", "x"]
+    if connect_xy:
+        slices = label_2d(cells.select(*at), grid)
+    else:
+        slices = cells.select(*at).withColumn("blob", F.col("y").cast("bigint") * grid.x + F.col("x"))
+    size = grid.y * grid.x
+    blob = F.col("z").cast("bigint") * size + F.col("blob")
+    slices = cut(_ids(slices.withColumn("blob", blob), grid))
+    if not connect_z:
+        return slices.drop("id")
+    below = slices.select("t", (F.col("z") + 1).alias("z"), "y", "x", F.col("id").alias("b"))
+    faces = slices.join(below, ["t", "z", "y", "x"]).select(F.col("id").alias("a"), "b").distinct()
+    roots = connected(slices.select("id").distinct(), faces)
+    return slices.join(roots, "id").select(*at, F.pmod(F.col("root"), F.lit(grid.z * size)).alias("blob"))
 
 
 def _ids(blobs: DataFrame, grid: Grid) -> DataFrame:
@@ -107,7 +127,7 @@ def events(blobs: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
 
 def label_3d(cells: DataFrame, grid: Grid) -> DataFrame:
     """26-connected events over (t, y, x)."""
-    blobs = label_2d(cells, grid)
+    blobs = cut(label_2d(cells, grid))
     return events(blobs, touching(blobs, grid), grid)
 
 
@@ -118,7 +138,7 @@ def label_temporal_neighbor(cells: DataFrame, grid: Grid, contain_thresh: float
         raise ValueError("contain_thresh must be between 0 and 1")
     if "z" in cells.columns:
         raise ValueError("a surface field is needed")
-    blobs = label_2d(cells, grid)
+    blobs = cut(label_2d(cells, grid))
     size = _ids(blobs, grid).groupBy("id").agg(F.count("*").alias("size"))
     e = overlapping(blobs, grid)
     if contain_thresh > 0:

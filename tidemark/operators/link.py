@@ -2,7 +2,8 @@
 
 The cell work is one join: for each pair of objects of neighbouring times, the cells (and the volume) they share. Events
 of the time before may be unions of objects, and shares of disjoint objects add up, so the fold over time needs only
-rows of objects and of overlapping pairs. It is sequential in time; each step handles one time's objects.
+rows of objects and of overlapping pairs. Objects that no chain of pairs connects don't influence each other, so the fold
+runs in tasks of whole components; an event is named there by its first object, and numbered afterwards.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import TOGETHER, cut, dealt, numbered
+
 
 def object_table(labels: DataFrame, volume: DataFrame | None = None) -> DataFrame:
     """t, label, n and w (the volume; NULL without one)."""
@@ -45,70 +49,72 @@ def score(n: float, size: float, other: float, w: float | None, w_size: float |
     return alpha * cells + (1 - alpha) * (second if second > first else first)
 
 
-class Lineage:
-    """The state of the fold: events of the last time, with their cells and volumes."""
-
-    def __init__(self, contain_thresh: float = 0.3, alpha: float = 0.5):
-        self.thresh, self.alpha = contain_thresh, alpha
-        self.next, self.last, self.event_of, self.parents = 1, None, {}, {}
-
-    def step(self, t: int, objects: dict, pairs: list) -> dict[int, int]:
-        """objects: label -> (n, w); pairs: (label, prev, n, w). Gives label -> event."""
-        if self.last is None:
-            now = {b: b for b in objects}  # the first time's labels are the first events
-            self.next = max(objects, default=0) + 1
-        else:
-            if self.last != t - 1:
-                self.event_of, self.parents = {}, {}
-            shared: dict = defaultdict(lambda: [0.0, 0.0])
-            for b, prev, n, w in pairs:
-                if prev in self.event_of:
-                    s = shared[b, self.event_of[prev]]
-                    s[0] += n
-                    s[1] += w if w is not None else 0.0
-            now = {}
-            for b in sorted(objects):
-                size, w_size = objects[b]
-                fits = [
-                    e for (c, e), (n, w) in shared.items()
-                    if c == b and score(n, size, self.parents[e][0], w, w_size, self.parents[e][1], self.alpha) > self.thresh
-                ]
-                if fits:
-                    now[b] = min(fits)
-            for b in sorted(objects):
-                if b not in now:
-                    now[b] = self.next
-                    self.next += 1
-        parents: dict = defaultdict(lambda: [0.0, 0.0])
+def fold(objects: list[tuple], pairs: list[tuple], thresh: float, alpha: float) -> dict[tuple, tuple]:
+    """objects (t, label, n, w) and pairs (t, label, prev, n, w) of whole components. Gives (t, label) -> (t, label) of
+    the first object of its event. An object joins the earliest of the events that share enough of it; of the last time's
+    events, all cells count."""
+    by_time: dict = defaultdict(dict)
+    for t, b, n, w in objects:
+        by_time[t][b] = (n, w)
+    shares: dict = defaultdict(list)
+    for t, b, prev, n, w in pairs:
+        shares[t, b].append((prev, n, w))
+    out: dict[tuple, tuple] = {}
+    parents: dict = {}
+    for t in sorted(by_time):
+        now = {}
+        for b, (size, w_size) in by_time[t].items():
+            common: dict = defaultdict(lambda: [0, 0.0])
+            for prev, n, w in shares.get((t, b), ()):
+                c = common[out[t - 1, prev]]
+                c[0] += n
+                c[1] += w if w is not None else 0.0
+            fits = [
+                e for e, (n, w) in common.items()
+                if score(n, size, parents[e][0], w, w_size, parents[e][1], alpha) > thresh
+            ]
+            now[b] = min(fits, default=(t, b))
+        parents = {}
         for b, e in now.items():
-            parents[e][0] += objects[b][0]
-            parents[e][1] += objects[b][1] if objects[b][1] is not None else 0.0
-        self.last, self.event_of, self.parents = t, now, parents
-        return now
-
-
-def track_with_splitting(labels: DataFrame, volume: DataFrame | None = None, contain_thresh: float = 0.3, alpha: float = 0.5):
-    """(cells with label = event, lineage (id, origin_id)). Times are folded one after another; a time's objects and pairs
-    are fetched when it is their turn."""
-    spark = labels.sparkSession
-    objects = object_table(labels, volume).withColumn("prev", F.lit(None).cast("bigint"))
-    rows = objects.unionByName(containment_pairs(labels, volume)).select("t", F.col("label").cast("bigint"), F.col("prev").cast("bigint"), "n", "w")
-    fold, names, now_t, objs, pairs = Lineage(contain_thresh, alpha), [], None, {}, []
-
-    def close():
-        if now_t is not None:
-            names.extend((now_t, b, e) for b, e in fold.step(now_t, objs, pairs).items())
-
-    for r in rows.orderBy("t").toLocalIterator():
-        if r["t"] != now_t:
-            close()
-            now_t, objs, pairs = r["t"], {}, []
-        if r["prev"] is None:
-            objs[r["label"]] = (r["n"], r["w"])
-        else:
-            pairs.append((r["label"], r["prev"], r["n"], r["w"]))
-    close()
-    table = spark.createDataFrame(names, "t int, label bigint, event bigint")
+            n, w = by_time[t][b]
+            n0, w0 = parents.get(e, (0, 0.0))
+            parents[e] = (n0 + n, w0 + (w if w is not None else 0.0))
+        out.update(((t, b), e) for b, e in now.items())
+    return out
+
+
+def events_of(labels: DataFrame, volume: DataFrame | None = None, contain_thresh: float = 0.3, alpha: float = 0.5, *,
+              first: int = 0, next_id: int | None = None, together: int = TOGETHER) -> DataFrame:
+    """t, label, event for each object. Objects of the time `first` give their labels to the events; later events are
+    numbered in the order of their first time and label, from next_id on (by default, after those of `first`)."""
+    objects = cut(object_table(labels, volume).select(F.col("t").cast("int"), F.col("label").cast("bigint"), "n", "w"))
+    pairs = cut(containment_pairs(labels, volume).select(F.col("t").cast("int"), F.col("label").cast("bigint"), F.col("prev").cast("bigint"), "n", "w"))
+    key = lambda t, b: F.struct(F.col("t").alias("t") if t is None else t.alias("t"), F.col(b).alias("b"))
+    nodes = objects.select(key(None, "label").alias("id"))
+    edges = pairs.select(key(None, "label").alias("a"), key(F.col("t") - 1, "prev").alias("b"))
+    bucket = dealt(nodes, edges, together).select("id.t", F.col("id.b").alias("label"), "bucket")
+    rows = objects.withColumn("prev", F.lit(None).cast("bigint")).unionByName(pairs).join(bucket, ["t", "label"])
+
+    def run(table: pa.Table) -> pa.Table:
+        all_rows = list(zip(*[table.column(c).to_pylist() for c in ("t", "label", "prev", "n", "w")], strict=True))
+        own = [(t, b, n, w) for t, b, prev, n, w in all_rows if prev is None]
+        found = fold(own, [r for r in all_rows if r[2] is not None], contain_thresh, alpha)
+        flat = [(t, b, *e) for (t, b), e in found.items()]
+        columns = list(zip(*flat, strict=True)) or [()] * 4
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["t", "label", "t0", "b0"])
+
+    named = cut(rows.groupBy("bucket").applyInArrow(run, "t int, label bigint, t0 int, b0 bigint"))
+    if next_id is None:
+        next_id = (objects.filter(F.col("t") == first).agg(F.max("label")).first()[0] or 0) + 1
+    later = numbered(named.filter(F.col("t0") != first), ["t0", "b0"], "place")
+    event = F.when(F.col("t0") == first, F.col("b0")).otherwise(F.col("place") + (next_id - 1))
+    return named.join(later, ["t0", "b0"], "left").select("t", "label", event.cast("bigint").alias("event"))
+
+
+def track_with_splitting(labels: DataFrame, volume: DataFrame | None = None, contain_thresh: float = 0.3, alpha: float = 0.5, first: int = 0):
+    """(cells with label = event, lineage (id, origin_id)). first: the grid's first time, whose labels are event ids."""
+    table = cut(events_of(labels, volume, contain_thresh, alpha, first=first))
     tracked = labels.join(table, ["t", "label"]).drop("label").withColumnRenamed("event", "label")
     lineage = table.select(F.col("event").alias("id"), F.col("event").alias("origin_id")).distinct()
     return tracked, lineage

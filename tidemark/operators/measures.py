@@ -7,6 +7,7 @@ Events are rows (label, t, y, x) with coordinate tables dim_y (y, lat) and dim_x
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import EARTH_KM, LAT_KM, LON_KM, circularity, haversine_km, percentile_key
 from ..sources import Grid
 from .components import EIGHT, labelled
+from .graph import cut
+
 
 def by_time():
     return Window.partitionBy("label").orderBy("t")
@@ -64,28 +67,61 @@ def object_cells(labels: DataFrame, field: DataFrame) -> DataFrame:
     return labels.join(field.filter("v > 0"), ["t", "y", "x"])
 
 
+def object_masks(labels: DataFrame, field: DataFrame, object_id: int) -> tuple[DataFrame, DataFrame]:
+    """Of one event: its cells (t, y, x), and those of them with a positive value (t, y, x, v); both at the times of the
+    event only. An unknown id gives empty tables and a warning."""
+    own = labels.filter(F.col("label") == object_id).select("t", "y", "x")
+    if own.isEmpty():
+        warnings.warn(f"no object {object_id}", stacklevel=2)
+    return own, own.join(field.filter("v > 0").select("t", "y", "x", "v"), ["t", "y", "x"])
+
+
 def intensities(labels: DataFrame, field: DataFrame, q: float = 0.9) -> DataFrame:
-    """label, t (NULL: the whole event), cumulative, mean, max, std (of the population), quantile."""
+    """label, t (NULL: the whole event), cumulative, mean, max, std (of the population), quantile. A time's cells are at
+    most a slice of the grid; an event's cells may be many, so of these only the values near the quantile are gathered."""
     v = F.col("v")
-    name = percentile_key(q)
+    name = f"{percentile_key(q)}_intensity"
     rows = object_cells(labels, field).select("label", "t", "v")
-    return rows.groupingSets([["label", "t"], ["label"]], "label", "t").agg(
-        F.sum(v).alias("cumulative_intensity"), F.avg(v).alias("mean_intensity"), F.max(v).alias("max_intensity"),
-        F.stddev_pop(v).alias("std_intensity"), F.percentile(v, F.lit(q)).alias(f"{name}_intensity"),
-    )
+    parts = [
+        F.sum(v).alias("cumulative_intensity"), F.avg(v).alias("mean_intensity"), F.max(v).alias("max_intensity"), F.stddev_pop(v).alias("std_intensity"),
+    ]
+    each = rows.groupBy("label", "t").agg(*parts, F.percentile(v, F.lit(q)).alias(name))
+    near = [F.lit(max(q - 0.002, 0.0)), F.lit(min(q + 0.002, 1.0))]
+    whole = rows.groupBy("label").agg(
+        *parts, F.count("*").alias("n"), F.percentile_approx(v, F.array(*near), F.lit(10_000)).alias("near"), F.array(F.min(v), F.max(v)).alias("all")
+    ).withColumn("near", F.when(F.col("n") < 2000, F.col("all")).otherwise(F.col("near")))
+    # the ranks of the two values that the quantile lies between, from 0
+    rank = (F.col("n") - 1) * F.lit(q)
+    bounds = whole.select("label", F.col("near")[0].alias("low"), F.col("near")[1].alias("high"), F.floor(rank).alias("k"), (rank - F.floor(rank)).alias("part"))
+    inside = rows.join(bounds, "label").groupBy("label", "k", "part").agg(
+        F.count_if(v < F.col("low")).alias("below"), F.sort_array(F.collect_list(F.when(v.between(F.col("low"), F.col("high")), v))).alias("vs"))
+    at = (F.col("k") - F.col("below")).cast("int")
+    first = F.get("vs", at)
+    exact = first + (F.coalesce(F.get("vs", at + 1), first) - first) * F.col("part")
+    whole = whole.join(inside.select("label", exact.alias(name)), "label")
+    columns = ["label", "t", "cumulative_intensity", "mean_intensity", "max_intensity", "std_intensity", name]
+    return each.select(*columns).unionByName(whole.withColumn("t", F.lit(None).cast("int")).select(*columns))
 
 
 # shape
 
 
-def _area(lat: Column) -> Column:
+def _area(lat: Column, lat_km: float = LAT_KM, lon_km: float = LON_KM) -> Column:
     """km2 of a cell of one degree."""
-    return F.cos(F.radians(lat)) * (LAT_KM * LON_KM)
+    return F.cos(F.radians(lat)) * (lat_km * lon_km)
 
 
-def extents(labels: DataFrame, dim_y: DataFrame) -> DataFrame:
-    """label, t, spatial_extent."""
-    return labels.join(F.broadcast(dim_y), "y").groupBy("label", "t").agg(F.sum(_area(F.col("lat"))).alias("spatial_extent"))
+def extents(labels: DataFrame, dim_y: DataFrame, lat_km: float = LAT_KM, lon_km: float = LON_KM) -> DataFrame:
+    """label, t, spatial_extent; lat_km and lon_km: the lengths of a degree."""
+    return labels.join(F.broadcast(dim_y), "y").groupBy("label", "t").agg(F.sum(_area(F.col("lat"), lat_km, lon_km)).alias("spatial_extent"))
+
+
+def whole_extents(labels: DataFrame, dim_y: DataFrame, lat_km: float = LAT_KM, lon_km: float = LON_KM) -> DataFrame:
+    """label, max_spatial_extent, mean_spatial_extent and cumulative_spatial_extent, over an event's times."""
+    e = F.col("spatial_extent")
+    return extents(labels, dim_y, lat_km, lon_km).groupBy("label").agg(
+        F.max(e).alias("max_spatial_extent"), F.avg(e).alias("mean_spatial_extent"), F.sum(e).alias("cumulative_spatial_extent")
+    )
 
 
 def deformation(labels: DataFrame, dim_y: DataFrame) -> DataFrame:
@@ -110,18 +146,15 @@ def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
 
 def contours(mask: np.ndarray) -> list[list[tuple[float, float]]]:
     """Level lines of a binary picture at one half. Highs that touch by a corner are apart; lines that the picture's
-    border cuts are open, the others end where they began."""
-    h, w = mask.shape
+    border cuts are open, the others end where they began. Only squares with both kinds of corners are visited."""
+    m = mask.astype(np.int8)
+    code = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, :-1] + 8 * m[1:, 1:]
     nexts: dict = {}
-    starts = set()
-    for r in range(h - 1):
-        for c in range(w - 1):
-            square = (mask[r, c], mask[r, c + 1], mask[r + 1, c], mask[r + 1, c + 1])
-            top, left, right, bottom = (r, c + 0.5), (r + 0.5, c), (r + 0.5, c + 1), (r + 1, c + 0.5)
-            for a, b in _SEGMENTS[square](top, left, right, bottom):
-                nexts[a] = b
-                starts.add(a)
+    for r, c in zip(*(x.tolist() for x in np.nonzero((code > 0) & (code < 15))), strict=True):
+        top, left, right, bottom = (r, c + 0.5), (r + 0.5, c), (r + 0.5, c + 1), (r + 1, c + 0.5)
+        nexts.update(_SEGMENTS[int(code[r, c])](top, left, right, bottom))
     ends = set(nexts.values())
+    starts = set(nexts)
     lines = []
     for first in [*sorted(starts - ends), *sorted(starts)]:
         if first not in nexts:
@@ -134,7 +167,8 @@ def contours(mask: np.ndarray) -> list[list[tuple[float, float]]]:
 
 
 def _segments() -> dict:
-    """For the four corners of a square, its directed pieces of lines, highs on the left."""
+    """For the four corners of a square (as bits: upper left, upper right, lower left, lower right), its directed pieces
+    of lines, highs on the left."""
     out = {}
     for k in range(16):
         ul, ur, ll, lr = (bool(k & b) for b in (1, 2, 4, 8))
@@ -150,25 +184,32 @@ def _segments() -> dict:
             fall = [e for a, z, e in ring if a and not z]
             return list(zip(fall, rise, strict=True))
 
-        out[ul, ur, ll, lr] = pieces
+        out[k] = pieces
     return out
 
 
 _SEGMENTS = _segments()
 
 
-def perimeter_km(mask: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> float:
-    """All level lines, their ends joined; points are cut to whole cells, longitudes less 180."""
+def perimeter_km(y: np.ndarray, x: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> float:
+    """All level lines of the cells, their ends joined; points are cut to whole cells, longitudes less 180. Only the
+    cells' box and what borders on it are looked at."""
+    y0, x0 = max(int(y.min()) - 1, 0), max(int(x.min()) - 1, 0)
+    box = np.zeros((min(int(y.max()) + 2, len(lats)) - y0, min(int(x.max()) + 2, len(lons)) - x0), bool)
+    box[y - y0, x - x0] = True
     total = 0.0
-    for line in contours(mask.astype(bool)):
-        p = [(float(lats[int(y)]), float(lons[int(x)]) - 180.0) for y, x in line]
+    for line in contours(box):
+        p = [(float(lats[int(r) + y0]), float(lons[int(c) + x0]) - 180.0) for r, c in line]
         total += sum(_km(a, b) for a, b in zip(p, [*p[1:], p[0]], strict=True))
     return total
 
 
 def hull_cells(y: np.ndarray, x: np.ndarray) -> int:
     """Cells whose centre lies in the convex hull of the middles of the cells' sides."""
-    points = sorted({(a + da, b + db) for a, b in zip(y.tolist(), x.tolist(), strict=True) for da, db in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))})
+    order = np.lexsort((x, y))
+    change = np.flatnonzero(np.diff(y[order])) + 1
+    ends = order[np.unique(np.concatenate([[0], change, change - 1, [len(order) - 1]]))]  # the outer cells of each row
+    points = sorted({(a + da, b + db) for a, b in zip(y[ends].tolist(), x[ends].tolist(), strict=True) for da, db in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))})
     cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
     def half(ps):
@@ -194,12 +235,10 @@ def outlines(labels: DataFrame, dim_y: DataFrame, dim_x: DataFrame, grid: Grid)
 
     def run(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        mask = np.zeros((grid.y, grid.x), bool)
-        mask[y, x] = True
         hull = hull_cells(y, x)
         return pa.table({
             "label": pa.array([table.column("label")[0].as_py()], pa.int64()), "t": pa.array([table.column("t")[0].as_py()], pa.int32()),
-            "perimeter": pa.array([perimeter_km(mask, lats, lons)]), "convex_hull_area": pa.array([hull], pa.int64()),
+            "perimeter": pa.array([perimeter_km(y, x, lats, lons)]), "convex_hull_area": pa.array([hull], pa.int64()),
             "ratio_convexhullarea_vs_area": pa.array([len(y) / hull]),
         })
 
@@ -210,9 +249,9 @@ def outlines(labels: DataFrame, dim_y: DataFrame, dim_x: DataFrame, grid: Grid)
 
 
 def shape(labels: DataFrame, dim_y: DataFrame, dim_x: DataFrame, grid: Grid) -> DataFrame:
-    """label, t and all shape measures; an event's largest and mean extent stand at each of its times."""
-    e, whole = extents(labels, dim_y), Window.partitionBy("label")
-    d = e.withColumns({"max_spatial_extent": F.max("spatial_extent").over(whole), "mean_spatial_extent": F.avg("spatial_extent").over(whole)})
+    """label, t and all shape measures; an event's largest, mean and summed extent stand at each of its times."""
+    labels = cut(labels)
+    d = extents(labels, dim_y).join(whole_extents(labels, dim_y), "label")
     d = d.join(outlines(labels, dim_y, dim_x, grid), ["label", "t"]).join(deformation(labels, dim_y), ["label", "t"], "left")
     return d.withColumn("circularity", circularity(F.col("spatial_extent"), F.col("perimeter")))
 
@@ -225,13 +264,12 @@ def centres(cells: DataFrame, keys: list[str], dim_y: DataFrame, dim_x: DataFram
     the last) comes last; places are rounded half to even."""
     w = F.col(weight) if weight else F.lit(1.0)
     sums = cells.groupBy(*keys, "x").agg(F.sum(w).alias("s"), F.sum(w * F.col("y")).alias("sy"))
-    a = sums.groupBy(*keys).agg(F.sum("s").alias("n"), F.sum("sy").alias("sy"), F.collect_list(F.struct("x", "s")).alias("cols"))
-    filled = F.array_sort(F.col("cols"))
-    a = a.withColumn("cols", F.map_from_entries(F.transform(filled, lambda c: F.struct(c["x"], c["s"]))))
-    every = F.transform(F.sequence(F.lit(0), F.lit(grid.x - 1)), lambda x: F.struct(F.coalesce(F.try_element_at("cols", x), F.lit(0.0)).alias("s"), (-x).alias("x")))
-    a = a.withColumn("low", F.array_min(every))
-    a = a.withColumn("shift", F.lit(grid.x - 1) + F.col("low.x"))
-    sx = F.aggregate(F.map_entries("cols"), F.lit(0.0), lambda t, e: t + e["value"] * F.pmod(e["key"] + F.col("shift"), F.lit(grid.x)))
+    a = sums.groupBy(*keys).agg(F.sum("s").alias("n"), F.sum("sy").alias("sy"), F.sort_array(F.collect_list(F.struct("x", "s")), asc=False).alias("cols"))
+    # a column without cells is the emptiest: the last such one comes before the run of columns that ends the row
+    run = F.size(F.filter("cols", lambda c, i: c["x"] == F.lit(grid.x - 1) - i))
+    least = F.array_min(F.transform("cols", lambda c: F.struct(c["s"].alias("s"), (-c["x"]).alias("x"))))["x"]
+    a = a.withColumn("shift", F.when(F.size("cols") < grid.x, run).otherwise(F.lit(grid.x - 1) + least))
+    sx = F.aggregate("cols", F.lit(0.0), lambda t, c: t + c["s"] * F.pmod(c["x"] + F.col("shift"), F.lit(grid.x)))
     a = a.withColumns({"cy": F.bround(F.try_divide(F.col("sy"), F.col("n"))).cast("int"), "cx": F.bround(F.try_divide(sx, F.col("n"))).cast("int")})
     a = a.withColumn("x", F.pmod(F.col("cx") - F.col("shift"), F.lit(grid.x)).cast("int")).withColumn("y", F.col("cy"))
     return a.select(*keys, "y", "x").join(F.broadcast(dim_y), "y").join(F.broadcast(dim_x), "x").select(*keys, "lat", "lon")
@@ -258,6 +296,7 @@ def directionality(path: DataFrame, swapped: bool = True) -> DataFrame:
     angle = F.pmod(F.degrees(F.atan2("mean_delta_lat", "mean_delta_lon")), F.lit(360.0))
     m = m.withColumn("mean_angle", angle)
     g = F.col("mean_angle")
+    # fixed values: the four names
     name = (
         F.when((g < 45) | (g >= 315), "eastward (zonal-dominated)").when(g < 135, "northward (meridional-dominated)")
         .when(g < 225, "westward (zonal-dominated)").otherwise("southward (meridional-dominated)")
@@ -268,7 +307,8 @@ def directionality(path: DataFrame, swapped: bool = True) -> DataFrame:
 def motion(labels: DataFrame, field: DataFrame, dim_y: DataFrame, dim_x: DataFrame, grid: Grid) -> DataFrame:
     """label, t, of centroids and of centres of mass: how many regions, their places, the path and its displacements."""
     out = None
-    r = regions(labels, grid)
+    labels, field = cut(labels), cut(field.filter("v > 0").join(labels.select("t", "y", "x").distinct(), ["t", "y", "x"], "left_semi"))
+    r = cut(regions(labels, grid))
     for name, cells, weight in (("centroid", labels, None), ("com", object_cells(labels, field), "v")):
         parts = r if weight is None else r.join(field.filter("v > 0"), ["t", "y", "x"])
         each = centres(parts, ["label", "t", "region"], dim_y, dim_x, grid, weight)
@@ -287,7 +327,7 @@ def process_objects(ids: list[int], labels: DataFrame, field: DataFrame, dims: d
                     shape_measures: bool = True, motion_measures: bool = True, temporal_measures: bool = True, intensity_measures: bool = True, q: float = 0.9) -> dict[str, DataFrame]:
     """The groups of measures asked for, for all ids at once; an unknown id is an error."""
     wanted = labels.sparkSession.createDataFrame([(i,) for i in ids], "label bigint")
-    own = labels.join(F.broadcast(wanted), "label", "left_semi")  # as long as the caller's list
+    own = cut(labels.join(F.broadcast(wanted), "label", "left_semi"))  # as long as the caller's list
     missing = wanted.join(own.select("label").distinct(), "label", "left_anti")
     if not missing.isEmpty():
         raise ValueError(f"unknown ids: {[r[0] for r in missing.limit(20).collect()]}")

@@ -50,16 +50,17 @@ def quantile_map(df: DataFrame, q: float = 0.9, value: str = "v") -> DataFrame:
 
 
 def threshold_features(df: DataFrame, q: float = 0.9, value: str = "v") -> tuple[DataFrame, DataFrame]:
-    """(cells at or over their quantile, the quantiles)."""
-    thr = quantile_map(df, q, value)
-    return df.join(thr, cell_keys(df)).filter(F.col(value) >= F.col("thr")).drop("thr"), thr
+    """(cells at or over their quantile, the quantiles). A cell's series meets once, in one shuffle; the field isn't
+    computed twice."""
+    own = F.percentile(value, F.lit(q)).over(Window.partitionBy(*cell_keys(df)))
+    return df.withColumn("thr", own).filter(F.col(value) >= F.col("thr")).drop("thr"), quantile_map(df, q, value)
 
 
 def anomalies_and_features(df: DataFrame, years: list[float], q: float = 0.9) -> DataFrame:
     """decomposed() with features: the anomaly where it reaches the cell's quantile, else NULL."""
-    parts = decomposed(df, years)
-    thr = quantile_map(parts, q, "anom")
-    return parts.join(thr, cell_keys(df)).withColumn("features", F.when(F.col("anom") >= F.col("thr"), F.col("anom"))).drop("thr")
+    own = F.percentile("anom", F.lit(q)).over(Window.partitionBy(*cell_keys(df)))
+    parts = decomposed(df, years).withColumn("thr", own)
+    return parts.withColumn("features", F.when(F.col("anom") >= F.col("thr"), F.col("anom"))).drop("thr")
 
 
 def layer_thickness(dim_z: DataFrame) -> DataFrame:
@@ -84,12 +85,32 @@ def anisotropic_offsets(connect_xy: bool = True, connect_z: bool = True) -> list
     return (plane if connect_xy else [(0, 0, 0)]) + ([(-1, 0, 0), (1, 0, 0)] if connect_z else [])
 
 
+def background_to_null(labels: DataFrame, grid, label: str = "label") -> DataFrame:
+    """Every cell (t, y, x) of the grid with its label, NULL where there is none: the dense form of a label table."""
+    n = grid.y * grid.x
+    every = labels.sparkSession.range(grid.t * n)
+    every = every.select(F.expr(f"int(id div {n})").alias("t"), F.expr(f"int(id % {n} div {grid.x})").alias("y"), F.expr(f"int(id % {grid.x})").alias("x"))
+    return every.join(labels.select("t", "y", "x", label), ["t", "y", "x"], "left")
+
+
 def binarised(df: DataFrame, positive: bool = True) -> DataFrame:
     """The cells over (or, for cold events, under) zero, without their values."""
     at = ["t", *cell_keys(df)]
     return df.filter((F.col("v") > 0) if positive else (F.col("v") < 0)).select(*at)
 
 
+def land_to_null(field: DataFrame) -> DataFrame:
+    """The field without its cells of value 0, which stand for land."""
+    return field.filter("v <> 0")
+
+
+def build_mask(field: DataFrame, grid, t: int = 0) -> DataFrame:
+    """y, x and valid: 0 where the field is 0 at time t, else 1; a missing cell is valid."""
+    land = field.filter((F.col("t") == t) & (F.col("v") == 0)).select("y", "x", F.lit(0).alias("valid"))
+    cells = field.sparkSession.range(grid.y * grid.x).select(F.expr(f"int(id div {grid.x})").alias("y"), F.expr(f"int(id % {grid.x})").alias("x"))
+    return cells.join(land, ["y", "x"], "left").select("y", "x", F.coalesce("valid", F.lit(1)).alias("valid"))
+
+
 def masked(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """The cells where mask (y, x[, t], valid) is 1. A mask in which nothing is valid is an error."""
     valid = mask.filter("valid = 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import measures
@@ -79,6 +79,7 @@ class SurfaceTracker(_Tracker):
             F.coalesce(F.try_divide(F.sum(F.when(F.col("area") <= self.min_area, F.col("area"))), F.sum("area")), F.lit(0.0)).alias("reject")
         )
         n = measures.n_events(self.labels_raw)
+        # fixed values: the names of the attributes
         self.attrs = share.select(
             F.lit(self.N_initial).alias("initial objects identified"), F.lit(n).alias("final objects tracked"), F.lit(self.radius).alias("radius"),
             F.lit(self.q).alias("size quantile threshold"), F.lit(self.floor).alias("min area cells"), F.lit(self.min_area).alias("min area (effective)"),
@@ -90,9 +91,14 @@ class SurfaceTracker(_Tracker):
     def run(self) -> SurfaceTracker:
         return self.clean().filter().track().postprocess()
 
-    def _events(self) -> DataFrame:
+    def n_events(self) -> int:
         if self.labels_raw is None:
             raise RuntimeError("track() comes first")
+        return measures.n_events(self.labels_raw)
+
+    def _events(self) -> DataFrame:
+        if self.result is None:
+            raise RuntimeError("postprocess() comes first")
         return self.labels_raw
 
 
@@ -112,6 +118,9 @@ class VolumeTracker(_Tracker):
         self.binary_clean = cut(clean_volume(binarised(self.field, self.positive), self.grid, self.radius))
         return self
 
+    def fraction_flagged(self) -> float:
+        return self.binary_clean.count() / (self.grid.t * self.grid.z * self.grid.y * self.grid.x)
+
     def label(self) -> VolumeTracker:
         if self.binary_clean is None:
             self.clean()
@@ -124,8 +133,6 @@ class VolumeTracker(_Tracker):
         kept = filter_area_by_depth(self.binary_clean, self.grid, self.q, self.floor)
         blobs = label_depths(kept, self.grid, connect_z=self.connect_z)
         # numbers start anew at each time
-        from pyspark.sql import Window
-
         names = blobs.select("t", "blob").distinct().withColumn("label", F.row_number().over(Window.partitionBy("t").orderBy("blob")).cast("bigint"))
         labels = blobs.join(names, ["t", "blob"]).drop("blob")
         self.labeled_3d = cut(merged_slices(labels, self.grid) if self.wrap else labels)

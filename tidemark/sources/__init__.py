@@ -53,6 +53,15 @@ def write_fields(df: DataFrame, path: str) -> None:
     df.repartition("t").write.partitionBy("t").parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder's path within the shared one."""
+    import uuid
+
+    from ..operators.graph import shared
+
+    return f"{shared(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
 def select(df: DataFrame, **bounds: tuple[float, float]) -> DataFrame:
     """Rows whose columns lie within inclusive bounds."""
     for name, (low, high) in bounds.items():
@@ -85,6 +94,12 @@ def member_prefixes(names: DataFrame, name: str = "name") -> DataFrame:
     return rows.filter("scenario IS NOT NULL").distinct()
 
 
+def find_members(prefixes: DataFrame, part: str, prefix: str = "prefix") -> DataFrame:
+    """The prefixes that contain `part`, with their places (from 0) among all in order. A list of a few hundred members."""
+    place = (F.row_number().over(Window.orderBy(prefix)) - 1).cast("int")
+    return prefixes.select(prefix, place.alias("place")).filter(F.col(prefix).contains(part))
+
+
 def find_member(prefixes: list[str], part: str) -> list[tuple[str, int]]:
     """The prefixes that contain `part`, with their places."""
     return [(p, i) for i, p in enumerate(prefixes) if part in p]
