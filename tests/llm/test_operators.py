@@ -312,18 +312,56 @@ def test_toxicity_on_held_out_texts():
     assert (toxicity.fit(["a"], [0]).scores(["x", ""]) == 0).all()
 
 
-def test_toxic_words_after_line_ends():
-    rng = random.Random(6)
+def toxic_corpus(seed, n):
+    """n texts, every fourth toxic by some words that are rare in it."""
+    rng = random.Random(seed)
     w = ["".join(rng.choice(["ta", "ro", "min", "ke", "lu"]) for _ in range(3)) for _ in range(300)]
-    make = lambda k: " ".join("zorgfoul" if k and rng.random() < 0.08 else rng.choice(w) for _ in range(80))
-    y = [int(i % 4 == 0) for i in range(400)]
-    model = toxicity.fit([make(k) for k in y], y)
+    bad = ["zorgfoul", "krakscum", "vilegrub"]
+    make = lambda k: " ".join(rng.choice(bad) if k and rng.random() < 0.08 else rng.choice(w) for _ in range(80))
+    y = [int(i % 4 == 0) for i in range(n)]
+    return [make(k) for k in y], y, make
+
+
+def test_toxic_words_after_line_ends():
+    texts, y, make = toxic_corpus(6, 400)
+    model = toxicity.fit(texts, y)
     toxic = [make(1) for _ in range(20)]
     for mark in "\n\t\r":
         assert np.array_equal(model.scores([t.replace(" zorgfoul", mark + "zorgfoul") for t in toxic]), model.scores(toxic))
     assert np.mean(model.scores(toxic) >= 0.5) > 0.9
 
 
+def test_both_dictionaries_are_trained_by_zstandard(monkeypatch):
+    """The toxic dictionary is what zstandard's trainer makes of toxic windows, and without its training nothing is found."""
+    import zstandard
+
+    real, calls = zstandard.train_dictionary, []
+
+    def seen(size, samples, **kw):
+        out = real(size, samples, **kw)
+        calls.append((out.as_bytes(), b"".join(samples)))
+        return out
+
+    texts, y, make = toxic_corpus(8, 600)
+    monkeypatch.setattr(zstandard, "train_dictionary", seen)
+    model = toxicity.fit(texts[:400], y[:400])
+    pieces = {c for c, _ in calls}
+    size = toxicity.PIECE[0]
+    assert model.ordinary.rstrip() in {c.rstrip() for c in pieces}
+    assert all(model.toxic[i : i + size] in pieces for i in range(0, len(model.toxic), size)) and len(model.toxic) >= size
+    assert any(b"zorgfoul" in s and c in model.toxic for c, s in calls)
+    good = model.scores(texts[400:]) >= 0.5
+    assert np.mean(good[np.array(y[400:]) == 1]) > 0.9
+    blank = toxicity.Model(model.ordinary, b"", model.weights)
+    assert not (blank.scores(texts[400:]) >= 0.5).any()
+
+
+def test_copies_in_both_halves_are_no_common_trait():
+    a, b = toxicity._distinct(["alpha beta gamma delta epsilon zeta eta theta"] * 2 + ["one two three four five six seven eight nine"] * 1 + ["alpha beta gamma delta epsilon zeta eta theta"])
+    assert not set(a) & set(b) or not a or not b
+    assert toxicity._distinct([""]) == ([b" "], [])
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     rng = random.Random(7)
     w = ["".join(rng.choice(["ta", "ro", "min", "ke", "lu"]) for _ in range(3)) for _ in range(300)]
@@ -333,7 +371,7 @@ def test_toxicity_learns_from_whole_texts(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     d = d.withColumn("text", F.concat(F.repeat(F.lit("taro "), 1000), "text"))
     model = toxicity.train(d, d)
-    assert b" zorgf" in model.toxic
+    assert b"zorgfoul" in model.toxic
     assert toxicity._spread([b"%d" % k for k in range(100)], 4) == [b"12", b"37", b"62", b"87"] and toxicity._spread([b"a"], 4) == [b"a"]
 
 
@@ -342,6 +380,11 @@ def test_toxicity_query(spark, docs):
     got = rows_of(toxicity.op7(docs, labels))
     assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items())
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
+    assert toxicity.op7(docs.filter("false"), labels).count() == 0
+    none = toxicity.op7(docs.limit(3), labels.filter("false")).collect()
+    assert [r["score"] for r in none] == [0.0] * 3
+    twice = docs.select("doc_id", "text").union(docs.selectExpr("doc_id", "text || ' again'"))
+    assert toxicity.op7(twice, labels.union(labels)).count() == 2 * docs.count()
 
 
 def test_substring_dedup(docs):

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, lean
 
 #: White-space separated chunks, and pre-tokens, that a worker keeps. The first ones stay: frequent words come early.
 CHUNKS, PARTS = 250_000, 700_000
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, v
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, vocabulary: str | None = None) -> DataFrame:
@@ -171,7 +171,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, v
             texts = [coder.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op2(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
@@ -196,4 +196,4 @@ def op2(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
             )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,39 +2,94 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: the space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: In counted(): heavy keys at most, and the rows from which on a key can be one.
+MOST, RARE = 50_000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder; on a cluster, whose executors would each write to their own disk, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = context._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later readers neither recompute it nor lose it
-    with an executor. Removed when the application ends."""
+    with an executor. Removed when the application ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    system, target = _folder(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more."""
+    for t in tables:
+        system, target = _folder(t.sparkSession, t._tidemark_path)
+        system.delete(target, True)
+        system.cancelDeleteOnExit(target)
+
+
+def counted(rows: DataFrame, key: str, to: str = "count", least: int = 2) -> DataFrame:
+    """The rows whose key has `least` rows or more, with their number. Keys that hold more than one in MOST rows, so MOST
+    keys at most, are broadcast and joined where their rows are; only rows of other keys are shuffled to meet their
+    count. rows is read twice."""
+    sizes = stored(rows.groupBy(key).agg(F.count("*").alias(to)).filter(F.col(to) >= least), "counts")
+    total = sizes.agg(F.sum(to)).first()[0] or 0
+    bound = max(RARE, total // MOST)
+    heavy = F.broadcast(sizes.filter(F.col(to) > bound))
+    light = sizes.filter(F.col(to) <= bound)
+    near = rows.join(heavy, key)
+    far = rows.join(heavy.select(key), key, "left_anti").join(light, key)
+    return near.select(*rows.columns, to).unionByName(far.select(*rows.columns, to))
+
+
+def release() -> None:
+    """Gives free memory back to the system: idle Python workers stay alive for the next stage and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function of mapInArrow, that releases memory at the end of each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +101,41 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def columns(docs: DataFrame, *but: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns if c not in but]
+
+
+def told_apart(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, bool]:
+    """(docs with a key column, its name, whether ids tell rows apart). The key is doc_id where every row has one of its
+    own; else it is a struct that orders rows by id (null last) and then by a hash of their text, so only rows with equal
+    ids and texts share one."""
+    name = fresh(docs, "row_key")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if again.isEmpty():
+        return docs.withColumn(name, F.col("doc_id")), name, True
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return docs.withColumn(name, key), name, False
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, a struct of all columns but text, and text: what an operator takes to hand rows on as they are."""
+    return docs.select(F.struct(*columns(docs, "text")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def handed_on(result: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs, from result's doc_id (see carried) and the new text; n_chars follows it."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    return result.select(*[new[c].alias(c) if c in new else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs of anything but SPACE."""
     return F.array_remove(F.split(text, SPACE, -1), "")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, lean
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -273,7 +273,7 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
                 yield pa.record_batch([part.column(0), size, media], ["doc_id", "n_bytes", "media"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -297,7 +297,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                                           ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "histogram", "samples"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, histogram array<bigint>, samples binary")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, histogram array<bigint>, samples binary")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -324,4 +324,4 @@ def op3(docs: DataFrame) -> DataFrame:
                                   ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

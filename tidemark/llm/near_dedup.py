@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored
+from .common import columns, counted, keyed, lean, stored, told_apart
 from .components import components
 from .hashing import mix, runs, text_batches, words
 
@@ -98,7 +98,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>")
 
 
 @lru_cache(maxsize=8)
@@ -137,7 +137,7 @@ def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) ->
             yield pa.record_batch([t.column(0), t.column(1)], ["a", "b"]).take(pa.array(alive))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
             yield pa.record_batch([t.column(0), t.column(1)], ["a", "b"]).take(pa.array(good, pa.int64()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -205,10 +205,10 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, mi
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     bits = ["s0", "s1", "s2"]
-    sets = stored(_of(texts, rest.select("doc_id")).mapInArrow(run, f"doc_id {kind}, h array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "sets")
+    sets = stored(_of(texts, rest.select("doc_id")).mapInArrow(lean(run), f"doc_id {kind}, h array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "sets")
     each = sets.select("doc_id", *bits, F.explode("h").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("df"))
-    first = each.join(often, "h").groupBy("doc_id", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    often = counted(each, "h", "df", least=1)
+    first = often.groupBy("doc_id", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     allowed = F.size("s") - F.floor((F.size("s") * percent + 99) / 100).cast("int") + 1
     first = first.select("doc_id", *bits, F.posexplode(F.slice("s", F.lit(1), allowed)).alias("at", "e")).filter("e.df > 1")
     first = stored(first.select("doc_id", *bits, "at", "e.h").join(rest, "doc_id"), "prefixes")
@@ -268,9 +268,16 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component, with all their columns. A null id is kept."""
-    drop = classes(docs).filter("NOT kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    """The documents that stand for their component, with all their columns. Rows without ids, or with equal ids, are
+    documents of their own, ordered by id (null last) and text; of rows with equal ids and texts, one stays (all of
+    them, if they have no words)."""
+    rows, key, unique = told_apart(docs)
+    drop = classes(rows, key).filter("NOT kept").select(F.col("doc_id").alias(key))
+    left = rows.join(drop, key, "left_anti")
+    if not unique:
+        said = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.filter(said).dropDuplicates([key]).unionByName(left.filter(~said))
+    return left.select(*columns(docs))
 
 
 #: The same in DuckDB's SQL.

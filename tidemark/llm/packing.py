@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import bpe, default_vocabulary
-from .common import keyed, stored
+from .common import keyed, lean, stored
 
 CAPACITY = 2048
 #: Pieces that one group of ranks may hold on average.
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
             )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, sealed
+from .common import carried, handed_on, keyed, sealed
 from .spans import found, luhn
 from .trees import boosted, threshold
 
@@ -219,7 +219,5 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def stage(docs: DataFrame) -> DataFrame:
     """All documents, their spans redacted in the text."""
-    d = detected(docs.withColumn("doc_id", F.struct(*docs.columns)), "doc_id")
-    d = d.withColumn("text", redacted(F.col("text"), F.col("spans")))
-    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
-    return d.select(*[own.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns])
+    d = detected(carried(docs))
+    return handed_on(d.withColumn("text", redacted(F.col("text"), F.col("spans"))), docs, F.col("text"))

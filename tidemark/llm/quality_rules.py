@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, sealed, words
+from .common import carried, handed_on, keyed, sealed, words
 
 #: Phrases that mark a line as boilerplate, in lower case.
 BOILERPLATE = (
@@ -151,17 +151,7 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The kept documents, their text without the lines that failed; all columns of documents."""
-    verdict = judged(docs.withColumn("doc_id", F.struct(*docs.columns)), "doc_id")
-    return verdict.filter("kept").select(
-        *[
-            F.col("clean_text").alias(c)
-            if c == "text"
-            else F.char_length("clean_text").cast("bigint").alias(c)
-            if c == "n_chars"
-            else F.col("doc_id")[c].alias(c)
-            for c in docs.columns
-        ]
-    )
+    return handed_on(judged(carried(docs)).filter("kept"), docs, F.col("clean_text"))
 
 
 #: The same in DuckDB's SQL.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored
+from .common import columns, counted, fresh, keyed, lean, release, stored, told_apart
 from .hashing import mix, runs, spans, text_batches, words
 
 SIZE, GRAM = 20, 8
@@ -79,7 +79,7 @@ def _scanned(d: DataFrame, size: int) -> DataFrame:
                 )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, n_words bigint, f1 bigint, f2 bigint, whole string, anchors array<bigint>")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, n_words bigint, f1 bigint, f2 bigint, whole string, anchors array<bigint>")
 
 
 def _digest(kept: list[bytes]) -> str:
@@ -129,7 +129,7 @@ def _segments(d: DataFrame, size: int, shards: int) -> DataFrame:
                                           ["doc_id", "f1", "f2", "start", "k1", "k2", "shard", "segment"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "text", "f1", "f2", "hot").mapInArrow(run, f"doc_id {kind}, f1 bigint, f2 bigint, start bigint, k1 bigint, k2 bigint, shard int, segment binary")
+    return d.select("doc_id", "text", "f1", "f2", "hot").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, start bigint, k1 bigint, k2 bigint, shard int, segment binary")
 
 
 class Automaton:
@@ -194,7 +194,8 @@ class Automaton:
 
 def shard_places(rows: list[tuple[int, int, bytes]], size: int) -> list[list[tuple[int, int]]]:
     """rows: id, first word's place and words of distinct segments. For each, the earliest id and place of its windows."""
-    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x  # noqa: E731  (an id that is a struct)
+    order = sorted(range(len(rows)), key=lambda i: (plain(rows[i][0]), rows[i][1]))
     split = [r[2].split(b" ") for r in rows]
     automaton = Automaton()
     for i in order:
@@ -207,10 +208,11 @@ def _located(distinct: DataFrame, size: int) -> DataFrame:
     """distinct: shard, k1, k2, doc_id, start, segment. Gives k1, k2 and the earliest ids and starts of its windows."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "start", "segment")}
-        found = shard_places(list(zip(columns["doc_id"], columns["start"], columns["segment"], strict=True)), size)
+        rows = {c: table.column(c).to_pylist() for c in ("k1", "k2", "doc_id", "start", "segment")}
+        found = shard_places(list(zip(rows["doc_id"], rows["start"], rows["segment"], strict=True)), size)
+        release()
         return pa.table({
-            "k1": pa.array(columns["k1"], pa.int64()), "k2": pa.array(columns["k2"], pa.int64()),
+            "k1": pa.array(rows["k1"], pa.int64()), "k2": pa.array(rows["k2"], pa.int64()),
             "ids": pa.array([[x[0] for x in f] for f in found], pa.list_(table.schema.field("doc_id").type)),
             "starts": pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int64())),
         })
@@ -244,7 +246,7 @@ def _cut(d: DataFrame, size: int, with_text: bool) -> DataFrame:
                                    pa.array(out[4], pa.string())], ["doc_id", "f1", "f2", "n_removed", "kept"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "text", "f1", "f2", "windows").mapInArrow(run, f"doc_id {kind}, f1 bigint, f2 bigint, n_removed bigint, kept string")
+    return d.select("doc_id", "text", "f1", "f2", "windows").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, n_removed bigint, kept string")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, with_text: bool = False) -> DataFrame:
@@ -256,8 +258,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     same = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
     scan = scan.join(same, ["f1", "f2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
     anchors = scan.filter("doc_id IS NOT NULL AND NOT copy").select("doc_id", "f1", "f2", F.explode("anchors").alias("h"))
-    again = anchors.groupBy("h").count().filter("count > 1").select("h", (F.col("count") > HEAVY).alias("heavy"))
-    hot = anchors.join(again, "h").groupBy("doc_id", "f1", "f2").agg(F.collect_set(F.struct("h", "heavy")).alias("hot"))
+    again = counted(anchors, "h").withColumn("heavy", F.col("count") > HEAVY)
+    hot = again.groupBy("doc_id", "f1", "f2").agg(F.collect_set(F.struct("h", "heavy")).alias("hot"))
     hot = stored(hot, "hot")
     shards = max(1, (hot.agg(F.sum(F.size("hot"))).first()[0] or 0) // SHARD)
     parts = stored(_segments(d.join(hot, "doc_id"), size, shards), "segments")
@@ -299,14 +301,19 @@ def op8(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """All documents that keep a word, repeated passages removed from their texts; a text that loses nothing stays as it
-    is, of others the words left are joined by spaces. Documents without words stay."""
-    r = removed(docs, with_text=True).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_r")
-    ).dropDuplicates(["_id"])
-    joined = docs.join(r, docs["doc_id"] == F.col("_id"), "left").filter("_id IS NULL OR _r < _n")
-    text = F.coalesce("_kept", "text")
-    own = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).otherwise(F.char_length("_kept")).cast("bigint")}
-    return joined.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+    is, of others the words left are joined by spaces. Documents without words stay. Rows without ids, or with equal
+    ids, are documents of their own, ordered by id (null last) and text; rows with equal ids and texts are one document,
+    all of whose rows stay."""
+    rows, key, _ = told_apart(docs)
+    name = fresh(rows, "cut_text")
+    r = removed(rows, key, with_text=True).filter("n_removed > 0").dropDuplicates(["doc_id"])
+    r = r.select(F.col("doc_id").alias(key), F.struct("kept", (F.col("n_removed") < F.col("n_words")).alias("some")).alias(name))
+    joined = rows.join(r, key, "left").filter(F.coalesce(F.col(name)["some"], F.lit(True)))
+    kept = F.col(name)["kept"]
+    new = {"text": F.coalesce(kept, F.col("text")), "n_chars": F.when(kept.isNotNull(), F.char_length(kept).cast("bigint"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(new["n_chars"], F.col("n_chars").cast("bigint"))
+    return joined.select(*[new[c].alias(c) if c in new else column for c, column in zip(docs.columns, columns(docs), strict=True)])
 
 
 #: The same in DuckDB's SQL.
