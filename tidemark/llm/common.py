@@ -58,18 +58,23 @@ def discard(*tables: DataFrame) -> None:
         system.cancelDeleteOnExit(target)
 
 
+def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows.join(table, keys, how), where table (stored) has each key once and in `weight` how many rows have it. Keys that
+    hold more than one in MOST rows, so MOST keys at most, are broadcast and joined where their rows are; only rows of
+    other keys are shuffled. rows is read twice; weight is dropped."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    bound = max(RARE, total // MOST)
+    heavy = F.broadcast(table.filter(F.col(weight) > bound).drop(weight))
+    light = table.filter(F.col(weight) <= bound).drop(weight)
+    near = rows.join(heavy, keys)
+    far = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return near.unionByName(far)
+
+
 def counted(rows: DataFrame, key: str, to: str = "count", least: int = 2) -> DataFrame:
-    """The rows whose key has `least` rows or more, with their number. Keys that hold more than one in MOST rows, so MOST
-    keys at most, are broadcast and joined where their rows are; only rows of other keys are shuffled to meet their
-    count. rows is read twice."""
+    """The rows whose key has `least` rows or more, with their number."""
     sizes = stored(rows.groupBy(key).agg(F.count("*").alias(to)).filter(F.col(to) >= least), "counts")
-    total = sizes.agg(F.sum(to)).first()[0] or 0
-    bound = max(RARE, total // MOST)
-    heavy = F.broadcast(sizes.filter(F.col(to) > bound))
-    light = sizes.filter(F.col(to) <= bound)
-    near = rows.join(heavy, key)
-    far = rows.join(heavy.select(key), key, "left_anti").join(light, key)
-    return near.select(*rows.columns, to).unionByName(far.select(*rows.columns, to))
+    return met(rows, sizes.withColumn("_weight", F.col(to)), [key], "_weight")
 
 
 def release() -> None:

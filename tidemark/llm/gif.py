@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed, lean
+from .hashing import text_batches
 
 SIDE = 24
 BLOCK = SIDE * SIDE
 #: Blocks in a frame; longer payloads take more frames, so memory does not grow with them.
 BLOCKS = 64
 DELAY_CS = 10
+#: Bins of each channel's histogram.
 BINS = 16
 _GREYS = bytes(x for i in range(256) for x in (i, i, i))
 
@@ -146,7 +148,8 @@ def lzw_decode(data: bytes, code_size: int, most: int) -> np.ndarray:
 
 @dataclass
 class Frame:
-    """A timed frame: its place, and the whole picture (height, width, RGBA) after it is drawn."""
+    """A timed frame: its place, the whole picture (height, width, RGBA) after it is drawn, its samples and colours, and
+    whether it covers all of its place."""
 
     left: int
     top: int
@@ -154,6 +157,9 @@ class Frame:
     height: int
     delay_cs: int
     picture: np.ndarray
+    samples: np.ndarray
+    colours: np.ndarray
+    opaque: bool
 
 
 def encode(payload: bytes) -> bytes:
@@ -241,7 +247,7 @@ def _decode(data: bytes):
         else:
             seen = samples != clear_index
             area[seen] = drawn[seen]
-        yield Frame(left, top, width, height, delay, canvas.copy())
+        yield Frame(left, top, width, height, delay, canvas.copy(), samples, full[:, :3], clear_index is None)
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
@@ -249,15 +255,29 @@ def _decode(data: bytes):
         delay, disposal, clear_index = 0, 0, None
 
 
-def payload_of(text: str) -> bytes:
-    raw = text.encode("utf-8", "surrogatepass")
+def payload_of(raw: bytes) -> bytes:
     return raw + b"\xff" * (-len(raw) % BLOCK or (0 if raw else BLOCK))
 
 
 def histogram(frame: Frame) -> np.ndarray:
-    """Pixels by brightness (the mean of red, green and blue), in BINS bins, of the frame's own area."""
-    own = frame.picture[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width, :3]
-    return np.bincount((own.astype(np.uint16).sum(-1) // 3 * BINS // 256).ravel(), minlength=BINS)
+    """The colours of the frame's own area after it is drawn: for red, green and blue, the visible pixels in BINS bins."""
+    if frame.opaque:  # what is seen are the samples: each colour of the palette is looked at once
+        times = np.bincount(frame.samples.ravel(), minlength=256)
+        colours = frame.colours
+    else:
+        own = frame.picture[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width]
+        colours = own[own[..., 3] > 0][:, :3]
+        times = np.ones(len(colours), np.int64)
+    bins = colours.astype(np.int64) * BINS // 256
+    return np.stack([np.bincount(bins[:, c], weights=times, minlength=BINS) for c in range(3)]).astype(np.int64)
+
+
+def timed(raw: bytes):
+    """Yields each frame of a GIF with its number, start in ms and histogram."""
+    ms = 0
+    for n, f in enumerate(decode(raw)):
+        yield n, ms, f, histogram(f)
+        ms += 10 * f.delay_cs
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,38 +286,36 @@ def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                texts = part.column(1).to_pylist()
-                media = pa.array([encode(payload_of(x)) for x in texts], pa.binary())
-                size = pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64())
-                yield pa.record_batch([part.column(0), size, media], ["doc_id", "n_bytes", "media"])
+            for at, part in text_batches(b.column(1)):
+                media = pa.array([encode(payload_of(x)) for x in part], pa.binary())
+                yield pa.record_batch([b.column(0).slice(at, len(part)), pa.array([len(x) for x in part], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each frame: doc_id, frame, start_ms, delay_ms, width, height, histogram, samples (the red channel)."""
+    """A row for each frame: doc_id, frame, start_ms, delay_ms, left, top, width, height, red, green, blue (histograms of
+    the visible pixels) and samples (the drawn picture of the frame's own area, RGBA, row by row). Frames are handed on
+    one at a time, so a long medium takes no more memory than a short one."""
     d = media.select(media[id_col].alias("doc_id"), media[media_col].alias("media"))
+    ints = ["frame", "start_ms", "delay_ms", "left", "top", "width", "height"]
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 raw = b.column(1)[k].as_py()
-                rows, ms = [], 0
-                for n, f in enumerate(decode(raw)) if raw is not None else ():
-                    own = f.picture[f.top : f.top + f.height, f.left : f.left + f.width, 0]
-                    rows.append([n, ms, 10 * f.delay_cs, f.width, f.height, histogram(f).tolist(), own.tobytes()])
-                    ms += 10 * f.delay_cs
-                if rows:
-                    ids = b.column(0).take(pa.array([k] * len(rows), pa.int32()))
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.record_batch([ids, *columns],
-                                          ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "histogram", "samples"])
+                for n, ms, f, bins in timed(raw) if raw is not None else ():
+                    own = f.picture[f.top : f.top + f.height, f.left : f.left + f.width]
+                    numbers = [n, ms, 10 * f.delay_cs, f.left, f.top, f.width, f.height]
+                    yield pa.record_batch(
+                        [b.column(0).slice(k, 1), *[pa.array([x], pa.int64()) for x in numbers], *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in bins],
+                         pa.array([own.tobytes()], pa.binary())],
+                        ["doc_id", *ints, "red", "green", "blue", "samples"],
+                    )
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(lean(run), f"doc_id {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, histogram array<bigint>, samples binary")
+    whole = ", ".join(f"{c} bigint" for c in ints)
+    return d.mapInArrow(lean(run), f"doc_id {kind}, {whole}, red array<bigint>, green array<bigint>, blue array<bigint>, samples binary")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -309,15 +327,15 @@ def op3(docs: DataFrame) -> DataFrame:
             rows = []
             for k in range(b.num_rows):
                 raw = b.column(2)[k].as_py()
-                samples, hist, ms, n = [], np.zeros(BINS, np.int64), 0, 0
-                for f in decode(raw):
-                    samples.append(f.picture[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
-                    hist += histogram(f)
-                    ms, n = ms + 10 * f.delay_cs, n + 1
-                payload = b"".join(samples)
-                feature = f"frames={n};ms={ms};hist={','.join(map(str, hist.tolist()))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw),
-                             hashlib.sha256(raw).hexdigest(), feature))
+                digest, size, tail, end, hist = hashlib.sha256(), 0, b"", 0, np.zeros((3, BINS), np.int64)
+                n = -1
+                for n, ms, f, bins in timed(raw):
+                    samples = f.picture[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()  # grey: red is the sample
+                    digest.update(samples)
+                    size, tail, end = size + len(samples), (tail + samples)[-32:], ms + 10 * f.delay_cs
+                    hist += bins
+                said = ";".join(f"{c}={','.join(map(str, h))}" for c, h in zip(("red", "green", "blue"), hist.tolist(), strict=True))
+                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={n + 1};ms={end};{said}"))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.record_batch([b.column(0), b.column(1), *columns],

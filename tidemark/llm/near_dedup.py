@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, counted, keyed, lean, stored, told_apart
+from .common import columns, counted, keyed, lean, met, stored, told_apart
 from .components import components
 from .hashing import mix, runs, text_batches, words
 
@@ -212,8 +212,8 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, mi
     allowed = F.size("s") - F.floor((F.size("s") * percent + 99) / 100).cast("int") + 1
     first = first.select("doc_id", *bits, F.posexplode(F.slice("s", F.lit(1), allowed)).alias("at", "e")).filter("e.df > 1")
     first = stored(first.select("doc_id", *bits, "at", "e.h").join(rest, "doc_id"), "prefixes")
-    mixed = first.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("h")
-    first = first.join(mixed, "h")
+    mixed = first.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("c")).filter("x <> y")
+    first = met(first, stored(mixed.select("h", "c"), "mixed"), ["h"], "c")
     side = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "own", "at", *bits)])
     differ = " + ".join(f"bit_count({k}_a ^ {k}_b)" for k in bits)
     pairs = side("a").join(side("b"), "h").filter(
@@ -229,14 +229,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     percent / 100 are linked; a component's least id is kept."""
     s = stored(signed(docs, id_col, text_col, shingle), "signed")
     same = s.filter("f1 is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    s = s.join(same.filter("c > 1").drop("c"), ["f1", "f2", "n"], "left")
+    same = stored(same.filter("c > 1"), "same")
+    s = met(s, same, ["f1", "f2", "n"], "c", "left")
     s = stored(s.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "sig", "bands"), "classes")
     reps = s.filter("doc_id = rep AND sig IS NOT NULL").drop("rep").dropDuplicates(["doc_id", "sig"])
     keys = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.min_by("n", "doc_id").alias("n_lead"), F.count("*").alias("c"))
-    full = full.filter("c > 1").drop("c")
+    full = stored(full.filter("c > 1"), "full")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    rows = stored(keys.join(full, "key"), "buckets")
+    rows = stored(met(keys, full, ["key"], "c"), "buckets")
     texts = keyed(docs, id_col, text_col)
 
     def links(pairs: DataFrame, tag: str) -> DataFrame:
@@ -251,12 +252,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     labelled = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", "n", "lead", F.coalesce("component", "doc_id").alias("own")
     )
-    mixed = labelled.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("key")
-    rest = labelled.join(mixed, "key").filter("doc_id <> lead").select("doc_id", "n", "own")
+    labelled = stored(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("c")).filter("x <> y")
+    rest = met(labelled, stored(mixed.select("key", "c"), "mixed"), ["key"], "c").filter("doc_id <> lead").select("doc_id", "n", "own")
     second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest"), texts, shingle, percent, miss)
     more = links(second, "rest")
     whole = components(found.unionByName(more))
-    out = s.join(whole.withColumnRenamed("node", "rep"), "rep", "left")
+    sizes = same.groupBy("rep").agg(F.sum("c").alias("c"))
+    whole = whole.withColumnRenamed("node", "rep").join(sizes, "rep", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    out = met(s, stored(whole, "whole"), ["rep"], "c", "left")
     component = F.coalesce("component", "rep")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")

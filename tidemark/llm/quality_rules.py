@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, handed_on, keyed, sealed, words
+from .common import SPACE_CHARS, carried, handed_on, keyed, sealed, words
 
-#: Phrases that mark a line as boilerplate, in lower case.
+#: Phrases that mark a line as boilerplate, in lower case, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -23,7 +23,36 @@ BOILERPLATE = (
     "terms of use",
     "subscribe to our newsletter",
     "javascript is disabled",
+    "enable javascript",
     "click here to",
+    "uses cookies",
+    "follow us on",
+    "sign up for our",
+    "add to cart",
+    "back to top",
+    "powered by wordpress",
+    "lorem ipsum",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen",
+    "newsletter abonnieren",
+    "verwendet cookies",
+    "in den warenkorb",
+    "nach oben",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "abonnez-vous à",
+    "utilise des cookies",
+    "ajouter au panier",
+    "haut de page",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "condiciones de uso",
+    "suscríbete a",
+    "utiliza cookies",
+    "añadir al carrito",
+    "volver arriba",
 )
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -69,17 +98,25 @@ def _with_repeated(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", count.cast("bigint"))
 
 
-def _line_fails(line: Column, symbol_percent: int, nav_bars: int) -> Column:
-    bare = F.trim(line)
+def _line_fails(line: Column, symbol_percent: int, nav_bars: int, menu_words: int) -> Column:
+    bare = F.btrim(line, F.lit(SPACE_CHARS))
     length = F.char_length(bare)
     lower = F.lower(bare)
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | lower.contains(phrase)
+    count = lambda of: length - F.char_length(F.translate(bare, of, ""))
+    words_of = count(" ") + 1
     symbol_heavy = _symbols(bare) * 100 > length * symbol_percent
-    navigation = F.char_length(bare) - F.char_length(F.translate(bare, "|", "")) >= nav_bars
+    navigation = count("|") >= nav_bars
+    trail = (count(">›»→") >= 2) & (words_of <= 4 * menu_words)
     shouted = bare.rlike(r"(?:!!.*){3,}")
-    return (length > 0) & (boiler | symbol_heavy | navigation | shouted)
+    capitals = ~bare.rlike("[a-zà-öø-ÿ]") & (length - F.char_length(F.regexp_replace(bare, "[A-Z]", "")) >= 20)
+    cut_off = bare.rlike(r"(?:\.\.\.|…)\z")
+    link = bare.rlike(r"https?://|www\.") & (words_of <= menu_words)
+    numbers = (length - F.char_length(F.translate(bare, "0123456789", ""))) * 2 > length
+    menu = (words_of <= menu_words) & ~bare.rlike(r"""[.!?;:…"'”’»)\]。！？]\z""")
+    return (length > 0) & (boiler | symbol_heavy | navigation | trail | shouted | capitals | cut_off | link | numbers | menu)
 
 
 def judged(
@@ -91,13 +128,17 @@ def judged(
     max_repeat_percent: int = 50,
     symbol_percent: int = 10,
     nav_bars: int = 3,
+    menu_words: int = 3,
     max_lost_percent: int = 30,
 ) -> DataFrame:
     """Per document: the counts, base_failed, the lines left (clean_text), n_lost (characters lost), and kept.
 
-    A line fails if over symbol_percent of it are symbols, if it has nav_bars or more bars, if it shouts ("!!" three
-    times or more), if it holds a boilerplate phrase, or if it equals an earlier line. A document is rejected if its
-    words or repeated windows fail the base rules, or if over max_lost_percent of its characters are lost.
+    A line fails by punctuation: it shouts ("!!" three times or more, or 20 capitals and no small letter) or is cut off
+    (its end is an ellipsis); by navigation: it has nav_bars or more bars, it is a trail of two or more arrows, it is an
+    address with menu_words words or fewer, or it has so few words and no mark at its end; as boilerplate: over
+    symbol_percent of it are symbols, over half are digits, it holds a phrase of BOILERPLATE, or it equals an earlier
+    line. A document is rejected if its words or repeated windows fail the base rules, or if over max_lost_percent of its
+    characters are lost.
     """
     d = keyed(docs, id_col, text_col)
     # one step for each level of expressions, so that nothing is computed twice
@@ -125,7 +166,7 @@ def judged(
         _symbols(F.col("text")).cast("bigint").alias("n_symbols"),
         (F.size("full") - F.size("once")).cast("bigint").alias("n_dup_lines"),
         F.aggregate("full", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)).alias("line_chars"),
-        F.filter("once", lambda x: ~_line_fails(x, symbol_percent, nav_bars)).alias("left"),
+        F.filter("once", lambda x: ~_line_fails(x, symbol_percent, nav_bars, menu_words)).alias("left"),
     )
     d = d.withColumn("left_chars", F.aggregate("left", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -164,10 +205,17 @@ t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
       SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, sum(length(x)) AS n FROM (SELECT DISTINCT doc_id, unnest(filled) AS x FROM w)
-  WHERE NOT (length(regexp_replace(trim(x), '[^#*$%&|<>]', '', 'g')) * 100 > length(trim(x)) * 10
-    OR length(regexp_replace(trim(x), '[^|]', '', 'g')) >= 3 OR regexp_matches(trim(x), '(?:!!.*){3,}')
-    OR regexp_matches(lower(trim(x)), '{phrases}')) GROUP BY doc_id),
+l AS (SELECT doc_id, sum(length(x)) AS n FROM (
+    SELECT doc_id, x, b, length(b) AS n, length(b) - length(replace(b, ' ', '')) + 1 AS k FROM (
+      SELECT doc_id, x, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM (SELECT DISTINCT doc_id, unnest(filled) AS x FROM w)))
+  WHERE NOT (length(regexp_replace(b, '[^#*$%&|<>]', '', 'g')) * 100 > n * 10
+    OR length(regexp_replace(b, '[^|]', '', 'g')) >= 3 OR regexp_matches(b, '(?:!!.*){3,}')
+    OR (length(regexp_replace(b, '[^>›»→]', '', 'g')) >= 2 AND k <= 12)
+    OR (NOT regexp_matches(b, '[a-zà-öø-ÿ]') AND length(regexp_replace(b, '[^A-Z]', '', 'g')) >= 20)
+    OR regexp_matches(b, '(?:\.\.\.|…)\z') OR (regexp_matches(b, 'https?://|www\.') AND k <= 3)
+    OR length(regexp_replace(b, '[^0-9]', '', 'g')) * 2 > n
+    OR (k <= 3 AND NOT regexp_matches(b, '[.!?;:…"''”’»)\]。！？]\z'))
+    OR regexp_matches(lower(b), '{phrases}')) GROUP BY doc_id),
 c AS (SELECT doc_id, len(w)::BIGINT AS n_words,
   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
@@ -178,4 +226,4 @@ j AS (SELECT c.*, coalesce(r.n, 0)::BIGINT AS n_repeat_words, (line_chars - coal
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * n_lost <= 30 * line_chars AS kept, n_lost FROM f
-""".replace("{phrases}", "|".join(BOILERPLATE))
+""".replace("{phrases}", "|".join(BOILERPLATE).replace("'", "''"))

@@ -49,6 +49,70 @@ def found(d: DataFrame, text: str, pattern: str, to: str, only_if: Column) -> Da
     return d.withColumn(to, at).drop("_m", "_p", "_l", "_s")
 
 
+def _folded(items: str, merge) -> Column:
+    """The array of structs `items`, sorted by start, from left to right: an element that begins before the last one ends
+    is merged with it by merge(last, element), else it follows. Elements are appended within blocks of BLOCK, so a text
+    with very many of them costs little more for each."""
+    empty = F.slice(F.col(items), 1, 0)
+    none = F.get(F.col(items), F.lit(-1))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+
+    def step(a, x):
+        last = a["last"]
+        apart = last.isNotNull() & (x["start"] >= last["end"])
+        return F.struct(
+            F.when(last.isNull() | apart, x).otherwise(merge(last, x)).alias("last"),
+            a["outs"].alias("outs"),
+            F.when(apart, F.concat(a["now"], F.array(last))).otherwise(a["now"]).alias("now"),
+        )
+
+    def block(acc, k):
+        start = F.struct(acc["last"].alias("last"), acc["outs"].alias("outs"), empty.alias("now"))
+        return F.aggregate(
+            F.slice(F.col(items), k * BLOCK + 1, F.lit(BLOCK)), start, step,
+            lambda a: F.struct(a["last"].alias("last"), F.concat(a["outs"], F.array(a["now"])).alias("outs")),
+        )
+
+    zero = F.struct(none.alias("last"), F.slice(F.array(empty), 1, 0).alias("outs"))
+    whole = F.aggregate(blocks, zero, block, lambda a: F.concat(F.flatten(a["outs"]), F.array(a["last"])))
+    return F.when(F.size(items) > 0, whole).otherwise(empty)
+
+
+def settled(items: str) -> Column:
+    """Of structs (start, order, end and more), sorted: of two that overlap, the one of the lesser order stays, decided
+    from left to right; of equal orders, the one that ends later."""
+    better = lambda last, x: (x["order"] < last["order"]) | ((x["order"] == last["order"]) & (x["end"] > last["end"]))
+    return _folded(items, lambda last, x: F.when(better(last, x), x).otherwise(last))
+
+
+def marked(d: DataFrame, text: str, spans: str, to: str) -> DataFrame:
+    """Adds `to`: the text with [KIND] in place of each of `spans` (sorted structs of start, end and kind); overlapping
+    ones are one, of the first one's kind. Each block of spans sees only its part of the text, so neither many spans nor
+    long texts make it quadratic."""
+    bare = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    joint = lambda last, x: F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+    d = d.withColumn("_bare", bare)
+    d = d.withColumn("_spans", _folded("_bare", joint)).drop("_bare")
+    n = F.size("_spans")
+    at = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.coalesce(F.get(F.col("_spans"), k * BLOCK)["start"], F.char_length(F.col(text))))
+    d = d.withColumn("_regions", F.when(n > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
+        lambda k: F.struct(at(k).alias("at"), F.substr(F.col(text), at(k) + 1, at(k + 1) - at(k)).alias("part"), F.slice("_spans", k * BLOCK + 1, F.lit(BLOCK)).alias("spans")),
+    )))
+
+    def region(r):
+        def step(a, x):
+            gap = F.substr(r["part"], a["at"] - r["at"] + 1, x["start"] - a["at"])
+            return F.struct(x["end"].alias("at"), F.concat(a["parts"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("parts"))
+
+        start = F.struct(r["at"].alias("at"), F.array().cast("array<string>").alias("parts"))
+        rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(r["part"], a["at"] - r["at"] + 1, F.char_length(r["part"])))
+        return F.aggregate(r["spans"], start, step, rest)
+
+    whole = F.array_join(F.transform("_regions", region), "")
+    return d.withColumn(to, F.when(n == 0, F.col(text)).otherwise(whole)).drop("_spans", "_regions")
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
     back = F.reverse(digits)

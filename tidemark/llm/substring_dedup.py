@@ -8,11 +8,14 @@ in the same one.
    seven words) are shuffled and counted. Whole copies of a document need no more than their fingerprint.
 2. Documents with repeated anchors are read once more; around each such anchor they give a segment: the words of all
    windows that it anchors. Equal segments are one from here on, with their earliest place.
-3. Segments are dealt to reference shards by anchor, so every place of a window is in one shard, of bounded size: anchors
-   with very many places give a segment for each window, dealt by the window as well. A task builds the suffix automaton
-   of its shard, in the order of places, so each state knows the earliest one, and streams the segments through it: the
-   matching statistics, cut at `size` words, give the earliest place of every window.
-4. Each segment's windows that start earlier elsewhere are marked in all its documents, and the covered words go.
+3. If the distinct segments have BROADCAST words or fewer, they are one reference shard: its suffix automaton, built in
+   the order of places, so each state knows the earliest one, is broadcast, and documents stream past it. The matching
+   statistics, cut at `size` words, give the earliest place of every window.
+4. Beyond that size, an automaton (some kB for each word) would not fit into every worker, and documents would have to
+   stream past all shards in turn. So the segments are dealt to reference shards by anchor, every place of a window being
+   in one shard of bounded size: anchors with very many places give a segment for each window, dealt by the window as well.
+   A task builds its shard's automaton and streams the shard's segments through it.
+5. Windows that start earlier elsewhere are marked in all documents that have them, and the covered words go.
 
 Defined cases: a null or empty text has no words; a document with a null id is left as it is and is no reference; rows
 with equal ids and equal texts are one document; rows with equal ids and other texts are documents of equal rank, none
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, counted, fresh, keyed, lean, release, stored, told_apart
+from .common import columns, counted, fresh, keyed, lean, met, release, stored, told_apart
 from .hashing import mix, runs, spans, text_batches, words
 
 SIZE, GRAM = 20, 8
 #: Segments that a shard holds on average, and the places from which on an anchor is dealt by window.
 SHARD, HEAVY = 4000, 20_000
+#: Words of distinct segments whose automaton is broadcast.
+BROADCAST = 60_000
 _U = np.uint64
 
 
@@ -88,7 +93,7 @@ def _digest(kept: list[bytes]) -> str:
 
 def _segments(d: DataFrame, size: int, shards: int) -> DataFrame:
     """d: doc_id, text, f1, f2 and hot (structs of a repeated anchor h and whether it is heavy). Gives, for each run of
-    windows with a repeated anchor: doc_id, f1, f2, start (its first word), k1, k2 (the segment's key), shard, segment."""
+    windows with a repeated anchor: doc_id, f1, f2, start (its first word), k1, k2 (the segment's key), shard, size (words), segment."""
 
     def run(batches):
         for b in batches:
@@ -120,16 +125,16 @@ def _segments(d: DataFrame, size: int, shards: int) -> DataFrame:
                     shard = (mix(np.where(dense, signed ^ k1, signed).astype(_U)) % _U(shards)).astype(np.int64)
                     split = text.split()
                     for x, y, *key in zip(low.tolist(), high.tolist(), k1.tolist(), k2.tolist(), shard.tolist(), strict=True):
-                        rows.append((at + k, f1, f2, x, *key, b" ".join(split[x : y + size])))
+                        rows.append((at + k, f1, f2, x, *key, y - x + size, b" ".join(split[x : y + size])))
                 if rows:
                     c = list(zip(*rows, strict=True))
-                    kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+                    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.binary()]
                     columns = [pa.array(v, t) for v, t in zip(c, kinds, strict=True)]
                     yield pa.record_batch([b.column(0).take(columns[0]), *columns[1:]],
-                                          ["doc_id", "f1", "f2", "start", "k1", "k2", "shard", "segment"])
+                                          ["doc_id", "f1", "f2", "start", "k1", "k2", "shard", "size", "segment"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "text", "f1", "f2", "hot").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, start bigint, k1 bigint, k2 bigint, shard int, segment binary")
+    return d.select("doc_id", "text", "f1", "f2", "hot").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, start bigint, k1 bigint, k2 bigint, shard int, size int, segment binary")
 
 
 class Automaton:
@@ -192,16 +197,19 @@ class Automaton:
         return out
 
 
-def shard_places(rows: list[tuple[int, int, bytes]], size: int) -> list[list[tuple[int, int]]]:
-    """rows: id, first word's place and words of distinct segments. For each, the earliest id and place of its windows."""
-    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x  # noqa: E731  (an id that is a struct)
-    order = sorted(range(len(rows)), key=lambda i: (plain(rows[i][0]), rows[i][1]))
-    split = [r[2].split(b" ") for r in rows]
-    automaton = Automaton()
-    for i in order:
-        doc, start, _ = rows[i]
-        automaton.add(split[i], [(doc, start + k + 1 - size) for k in range(len(split[i]))])
-    return [automaton.earliest(w, size)[size - 1 :] for w in split]
+def automaton_of(rows: list[tuple], size: int) -> Automaton:
+    """rows: id, first word's place and words of distinct segments; each state keeps its earliest id and place."""
+    out = Automaton()
+    for doc, start, segment in sorted(rows, key=lambda r: (_plain(r[0]), r[1])):
+        split = segment.split(b" ")
+        out.add(split, [(doc, start + k + 1 - size) for k in range(len(split))])
+    return out
+
+
+def shard_places(rows: list[tuple], size: int) -> list[list[tuple]]:
+    """For each of the rows (see automaton_of), the earliest id and place of its windows."""
+    automaton = automaton_of(rows, size)
+    return [automaton.earliest(segment.split(b" "), size)[size - 1 :] for _, _, segment in rows]
 
 
 def _located(distinct: DataFrame, size: int) -> DataFrame:
@@ -221,6 +229,45 @@ def _located(distinct: DataFrame, size: int) -> DataFrame:
     return distinct.groupBy("shard").applyInArrow(run, f"k1 bigint, k2 bigint, ids array<{kind}>, starts array<bigint>")
 
 
+def _plain(x):
+    """An id that can be ordered: a struct as a tuple."""
+    return tuple(x.values()) if isinstance(x, dict) else x
+
+
+def _streamed(d: DataFrame, distinct: DataFrame, size: int, with_text: bool) -> DataFrame:
+    """Documents (doc_id, text, f1, f2) past the broadcast automaton of all distinct segments: what _cut gives, for those
+    that lose words. The caller has checked that the segments are few."""
+    rows = [(_plain(r[0].asDict() if hasattr(r[0], "asDict") else r[0]), r[1], bytes(r[2])) for r in distinct.select("doc_id", "start", "segment").collect()]
+    shared = d.sparkSession.sparkContext.broadcast(automaton_of(rows, size))
+
+    def run(batches):
+        automaton = shared.value
+        for b in batches:
+            out = [[], [], [], [], []]
+            for i in range(b.num_rows):
+                text = (b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")
+                f1, f2 = (b.column(k)[i].as_py() for k in (2, 3))
+                if _fingerprint(words([text])[0]) != (f1, f2):
+                    continue  # another text with the same id
+                own, split = _plain(b.column(0)[i].as_py()), text.split()
+                gone = np.zeros(len(split) + 1, np.int64)
+                for k, place in enumerate(automaton.earliest(split, size)[size - 1 :]):
+                    if place is not None and place < (own, k):
+                        gone[k] += 1
+                        gone[k + size] -= 1
+                stays = np.cumsum(gone)[:-1] == 0
+                if stays.all():
+                    continue
+                kept = [w for w, s in zip(split, stays.tolist(), strict=True) if s]
+                for c, v in zip(out, (i, f1, f2, int((~stays).sum()), b" ".join(kept).decode("utf-8", "surrogatepass") if with_text else _digest(kept)), strict=True):
+                    c.append(v)
+            yield pa.record_batch([b.column(0).take(pa.array(out[0], pa.int32())), *[pa.array(c, pa.int64()) for c in out[1:4]],
+                                   pa.array(out[4], pa.string())], ["doc_id", "f1", "f2", "n_removed", "kept"])
+
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.select("doc_id", "text", "f1", "f2").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, n_removed bigint, kept string")
+
+
 def _cut(d: DataFrame, size: int, with_text: bool) -> DataFrame:
     """d: doc_id, text, f1, f2 and windows (starts of windows to remove). Gives doc_id, f1, f2, n_removed and kept (the
     words left, or their digest)."""
@@ -249,14 +296,31 @@ def _cut(d: DataFrame, size: int, with_text: bool) -> DataFrame:
     return d.select("doc_id", "text", "f1", "f2", "windows").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, n_removed bigint, kept string")
 
 
+def _marked(parts: DataFrame, distinct: DataFrame, size: int) -> DataFrame:
+    """doc_id, f1, f2 and windows (the starts of those that start earlier elsewhere), by the automata of dealt shards."""
+    located = stored(_located(distinct, size), "located")
+    placed = parts.select("doc_id", "f1", "f2", "start", "k1", "k2").join(located, ["k1", "k2"])
+    starts = F.filter(
+        F.transform(
+            "ids",
+            lambda x, k: F.when(
+                (x < F.col("doc_id")) | ((x == F.col("doc_id")) & (F.get("starts", k) < F.col("start") + k)), F.col("start") + k
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    gone = placed.select("doc_id", "f1", "f2", starts.alias("w")).filter(F.size("w") > 0)
+    return gone.groupBy("doc_id", "f1", "f2").agg(F.flatten(F.collect_list("w")).alias("windows"))
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, with_text: bool = False) -> DataFrame:
     """doc_id, f1, f2, n_words, n_removed and kept: the digest of the words left, joined by spaces, or these words
     themselves (null where nothing goes). One row for each row of docs."""
     d = keyed(docs, id_col, text_col)
     scan = stored(_scanned(d, size), "scanned")
     real = scan.filter(F.col("doc_id").isNotNull())
-    same = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    scan = scan.join(same, ["f1", "f2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
+    same = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    scan = met(scan, stored(same, "same"), ["f1", "f2"], "c", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
     anchors = scan.filter("doc_id IS NOT NULL AND NOT copy").select("doc_id", "f1", "f2", F.explode("anchors").alias("h"))
     again = counted(anchors, "h").withColumn("heavy", F.col("count") > HEAVY)
     hot = again.groupBy("doc_id", "f1", "f2").agg(F.collect_set(F.struct("h", "heavy")).alias("hot"))
@@ -267,20 +331,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.min(F.struct("doc_id", "start")).alias("at"), F.any_value("segment").alias("segment"), F.count("*").alias("c")
     )
     distinct = distinct.select("shard", "k1", "k2", "at.doc_id", "at.start", "segment")
-    located = stored(_located(distinct, size), "located")
-    placed = parts.select("doc_id", "f1", "f2", "start", "k1", "k2").join(located, ["k1", "k2"])
-    starts = F.filter(
-        F.transform(
-            "ids",
-            lambda x, k: F.when(
-                (x < F.col("doc_id")) | ((x == F.col("doc_id")) & (F.get("starts", k) < F.col("start") + k)), F.col("start") + k
-            ),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    gone = placed.select("doc_id", "f1", "f2", starts.alias("w")).filter(F.size("w") > 0)
-    gone = gone.groupBy("doc_id", "f1", "f2").agg(F.flatten(F.collect_list("w")).alias("windows"))
-    cut = stored(_cut(d.join(gone, "doc_id"), size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+    total = parts.groupBy("k1", "k2").agg(F.any_value("size").alias("size")).agg(F.sum("size")).first()[0] or 0
+    if total <= BROADCAST:
+        ids = hot.select("doc_id", "f1", "f2")
+        cut = stored(_streamed(d.join(ids, "doc_id"), distinct, size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+    else:
+        cut = stored(_cut(d.join(_marked(parts, distinct, size), "doc_id"), size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
     out = scan.drop("anchors", "rep").join(cut, ["doc_id", "f1", "f2"], "left")
     all_gone = F.col("copy") & (F.col("n_words") >= size)
     nothing = F.lit("") if with_text else F.lit(_digest([]))
