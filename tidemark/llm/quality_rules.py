@@ -98,25 +98,43 @@ def _with_repeated(d: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", count.cast("bigint"))
 
 
-def _line_fails(line: Column, symbol_percent: int, nav_bars: int, menu_words: int) -> Column:
-    bare = F.btrim(line, F.lit(SPACE_CHARS))
-    length = F.char_length(bare)
-    lower = F.lower(bare)
+def _flags(text: Column, n_symbols: Column) -> Column:
+    """What a document must have somewhere for a rule to be worth a look at its lines."""
+    lower = F.col("low")
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | lower.contains(phrase)
-    count = lambda of: length - F.char_length(F.translate(bare, of, ""))
-    words_of = count(" ") + 1
-    symbol_heavy = _symbols(bare) * 100 > length * symbol_percent
-    navigation = count("|") >= nav_bars
-    trail = (count(">›»→") >= 2) & (words_of <= 4 * menu_words)
-    shouted = bare.rlike(r"(?:!!.*){3,}")
-    capitals = ~bare.rlike("[a-zà-öø-ÿ]") & (length - F.char_length(F.regexp_replace(bare, "[A-Z]", "")) >= 20)
-    cut_off = bare.rlike(r"(?:\.\.\.|…)\z")
-    link = bare.rlike(r"https?://|www\.") & (words_of <= menu_words)
-    numbers = (length - F.char_length(F.translate(bare, "0123456789", ""))) * 2 > length
-    menu = (words_of <= menu_words) & ~bare.rlike(r"""[.!?;:…"'”’»)\]。！？]\z""")
-    return (length > 0) & (boiler | symbol_heavy | navigation | trail | shouted | capitals | cut_off | link | numbers | menu)
+    arrows = text.contains(">") | text.contains("›") | text.contains("»") | text.contains("→")
+    return F.struct(
+        boiler.alias("boiler"), (n_symbols > 0).alias("symbols"), text.contains("!!").alias("bangs"), arrows.alias("arrows"), text.rlike("[0-9]").alias("digits")
+    )
+
+
+def _lines(lines: str) -> Column:
+    """Each line with what the rules look at: bare (without spaces at its ends), n (characters) and k (words)."""
+    bare = F.transform(lines, lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(SPACE_CHARS)).alias("bare")))
+    return F.transform(bare, lambda x: F.struct(
+        x["line"].alias("line"), x["bare"].alias("bare"), F.char_length(x["bare"]).alias("n"),
+        (F.octet_length(x["bare"]) - F.octet_length(F.replace(x["bare"], F.lit(" "), F.lit(""))) + 1).alias("k"),
+    ))
+
+
+def _line_fails(x: Column, has: Column, symbol_percent: int, nav_bars: int, menu_words: int) -> Column:
+    bare, n, k = x["bare"], x["n"], x["k"]
+    count = lambda of: n - F.char_length(F.translate(bare, of, ""))
+    lower, boiler = F.lower(bare), F.lit(False)
+    for phrase in BOILERPLATE:
+        boiler = boiler | lower.contains(phrase)
+    symbols = has["symbols"] & ((_symbols(bare) * 100 > n * symbol_percent) | (count("|") >= nav_bars))
+    trail = has["arrows"] & (k <= 4 * menu_words) & (count(">›»→") >= 2)
+    shouted = has["bangs"] & bare.rlike(r"(?:!!.*){3,}")
+    capitals = ~bare.rlike("[a-zà-öø-ÿ]") & (n - F.char_length(F.regexp_replace(bare, "[A-Z]", "")) >= 20)
+    cut_off = bare.endswith("...") | bare.endswith("…")
+    few = k <= menu_words
+    link = few & bare.rlike(r"https?://|www\.")
+    numbers = has["digits"] & (count("0123456789") * 2 > n)
+    menu = few & ~bare.rlike(r"""[.!?;:…"'”’»)\]。！？]\z""")
+    return (n > 0) & (symbols | trail | shouted | capitals | cut_off | link | numbers | menu | (has["boiler"] & boiler))
 
 
 def judged(
@@ -157,16 +175,20 @@ def judged(
     )
     full = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("full", full).withColumn("once", F.array_distinct("full"))
+    d = d.withColumn("n_symbols", _symbols(F.col("text")).cast("bigint")).withColumn("low", F.lower("text"))
+    d = d.withColumn("has", _flags(F.col("text"), F.col("n_symbols"))).drop("low").withColumn("seen", _lines("once"))
     d = _with_repeated(d).select(
         "doc_id",
         "text",
         "n_words",
         "n_repeat_words",
         F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-        _symbols(F.col("text")).cast("bigint").alias("n_symbols"),
+        "n_symbols",
         (F.size("full") - F.size("once")).cast("bigint").alias("n_dup_lines"),
         F.aggregate("full", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)).alias("line_chars"),
-        F.filter("once", lambda x: ~_line_fails(x, symbol_percent, nav_bars, menu_words)).alias("left"),
+        F.transform(
+            F.filter("seen", lambda x: ~_line_fails(x, F.col("has"), symbol_percent, nav_bars, menu_words)), lambda x: x["line"]
+        ).alias("left"),
     )
     d = d.withColumn("left_chars", F.aggregate("left", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
