@@ -36,9 +36,9 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, into: list | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later readers neither recompute it nor lose it
-    with an executor. Removed when the application ends, or by discard()."""
+    with an executor. Removed when the application ends, or by discard(); into: a list that gets it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -47,12 +47,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     system.deleteOnExit(target)
     out = spark.read.schema(schema).parquet(path)
     out._tidemark_path = path
+    if into is not None:
+        into.append(out)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of stored tables that nothing reads any more."""
-    for t in tables:
+def discard(tables: list, *but: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more, all but some."""
+    for t in (t for t in tables if not any(t is b for b in but)):
         system, target = _folder(t.sparkSession, t._tidemark_path)
         system.delete(target, True)
         system.cancelDeleteOnExit(target)
@@ -71,9 +73,9 @@ def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: st
     return near.unionByName(far)
 
 
-def counted(rows: DataFrame, key: str, to: str = "count", least: int = 2) -> DataFrame:
+def counted(rows: DataFrame, key: str, to: str = "count", least: int = 2, into: list | None = None) -> DataFrame:
     """The rows whose key has `least` rows or more, with their number."""
-    sizes = stored(rows.groupBy(key).agg(F.count("*").alias(to)).filter(F.col(to) >= least), "counts")
+    sizes = stored(rows.groupBy(key).agg(F.count("*").alias(to)).filter(F.col(to) >= least), "counts", into)
     return met(rows, sizes.withColumn("_weight", F.col(to)), [key], "_weight")
 
 

@@ -15,8 +15,9 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least, "u")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: columns a, b. Gives node, component for every linked node, component being the least node it reaches."""
+def components(links: DataFrame, into: list | None = None) -> DataFrame:
+    """links: columns a, b. Gives node, component for every linked node, component being the least node it reaches.
+    into: a list that gets the stored table that the result reads."""
     e = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links"
     )
@@ -33,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
             small.select("u", F.col("m").alias("v"))
         )
         before, e = e, stored(small.filter("u > v").distinct(), "stars")
-        discard(before)
+        discard([before])
+    if into is not None:
+        into.append(e)
     own = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         own.select("node", F.col("node").alias("component"))

@@ -66,7 +66,7 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def text_batches(texts, most: int = 1 << 18):
+def text_batches(texts, most: int = 1 << 19):
     """The texts (Arrow strings, null: empty) as lists of bytes of about `most` bytes in all, with the place of the
     first."""
     part, size, first = [], 0, 0

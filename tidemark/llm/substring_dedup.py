@@ -11,7 +11,7 @@ in the same one.
 3. If the distinct segments have BROADCAST words or fewer, they are one reference shard: its suffix automaton, built in
    the order of places, so each state knows the earliest one, is broadcast, and documents stream past it. The matching
    statistics, cut at `size` words, give the earliest place of every window.
-4. Beyond that size, an automaton (some kB for each word) would not fit into every worker, and documents would have to
+4. Beyond that size, the automata (some 0.4 kB for each word) would not fit into every worker, and documents would have to
    stream past all shards in turn. So the segments are dealt to reference shards by anchor, every place of a window being
    in one shard of bounded size: anchors with very many places give a segment for each window, dealt by the window as well.
    A task builds its shard's automaton and streams the shard's segments through it.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, counted, fresh, keyed, lean, met, release, stored, told_apart
+from .common import columns, counted, discard, fresh, keyed, lean, met, release, stored, told_apart
 from .hashing import mix, runs, spans, text_batches, words
 
 SIZE, GRAM = 20, 8
@@ -296,9 +296,9 @@ def _cut(d: DataFrame, size: int, with_text: bool) -> DataFrame:
     return d.select("doc_id", "text", "f1", "f2", "windows").mapInArrow(lean(run), f"doc_id {kind}, f1 bigint, f2 bigint, n_removed bigint, kept string")
 
 
-def _marked(parts: DataFrame, distinct: DataFrame, size: int) -> DataFrame:
+def _marked(parts: DataFrame, distinct: DataFrame, size: int, into: list) -> DataFrame:
     """doc_id, f1, f2 and windows (the starts of those that start earlier elsewhere), by the automata of dealt shards."""
-    located = stored(_located(distinct, size), "located")
+    located = stored(_located(distinct, size), "located", into)
     placed = parts.select("doc_id", "f1", "f2", "start", "k1", "k2").join(located, ["k1", "k2"])
     starts = F.filter(
         F.transform(
@@ -317,16 +317,17 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """doc_id, f1, f2, n_words, n_removed and kept: the digest of the words left, joined by spaces, or these words
     themselves (null where nothing goes). One row for each row of docs."""
     d = keyed(docs, id_col, text_col)
+    steps: list[DataFrame] = []
     scan = stored(_scanned(d, size), "scanned")
     real = scan.filter(F.col("doc_id").isNotNull())
     same = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     scan = met(scan, stored(same, "same"), ["f1", "f2"], "c", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
     anchors = scan.filter("doc_id IS NOT NULL AND NOT copy").select("doc_id", "f1", "f2", F.explode("anchors").alias("h"))
-    again = counted(anchors, "h").withColumn("heavy", F.col("count") > HEAVY)
+    again = counted(anchors, "h", into=steps).withColumn("heavy", F.col("count") > HEAVY)
     hot = again.groupBy("doc_id", "f1", "f2").agg(F.collect_set(F.struct("h", "heavy")).alias("hot"))
-    hot = stored(hot, "hot")
+    hot = stored(hot, "hot", steps)
     shards = max(1, (hot.agg(F.sum(F.size("hot"))).first()[0] or 0) // SHARD)
-    parts = stored(_segments(d.join(hot, "doc_id"), size, shards), "segments")
+    parts = stored(_segments(d.join(hot, "doc_id"), size, shards), "segments", steps)
     distinct = parts.groupBy("shard", "k1", "k2").agg(
         F.min(F.struct("doc_id", "start")).alias("at"), F.any_value("segment").alias("segment"), F.count("*").alias("c")
     )
@@ -336,7 +337,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         ids = hot.select("doc_id", "f1", "f2")
         cut = stored(_streamed(d.join(ids, "doc_id"), distinct, size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
     else:
-        cut = stored(_cut(d.join(_marked(parts, distinct, size), "doc_id"), size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+        cut = stored(_cut(d.join(_marked(parts, distinct, size, steps), "doc_id"), size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+    discard(steps)
     out = scan.drop("anchors", "rep").join(cut, ["doc_id", "f1", "f2"], "left")
     all_gone = F.col("copy") & (F.col("n_words") >= size)
     nothing = F.lit("") if with_text else F.lit(_digest([]))
