@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, counted, keyed, lean, met, stored, told_apart
+from .common import columns, counted, discard, keyed, lean, met, stored, told_apart
 from .components import components
 from .hashing import mix, runs, text_batches, words
 
@@ -185,7 +185,7 @@ def most_differences(percent: int, miss: float) -> int:
     return 0
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, miss: float, into: list) -> DataFrame:
     """rest (stored): doc_id, n, own. The pairs a, b of different components that can reach the threshold: of both sets,
     taken in the order of how many of these documents hold a shingle, the first part that the threshold allows to
     miss must have a shingle in common, and the places of the first common one bound what can be shared. Edits of
@@ -205,15 +205,15 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int, mi
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     bits = ["s0", "s1", "s2"]
-    sets = stored(_of(texts, rest.select("doc_id")).mapInArrow(lean(run), f"doc_id {kind}, h array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "sets")
+    sets = stored(_of(texts, rest.select("doc_id")).mapInArrow(lean(run), f"doc_id {kind}, h array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "sets", into)
     each = sets.select("doc_id", *bits, F.explode("h").alias("h"))
-    often = counted(each, "h", "df", least=1)
+    often = counted(each, "h", "df", 1, into)
     first = often.groupBy("doc_id", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     allowed = F.size("s") - F.floor((F.size("s") * percent + 99) / 100).cast("int") + 1
     first = first.select("doc_id", *bits, F.posexplode(F.slice("s", F.lit(1), allowed)).alias("at", "e")).filter("e.df > 1")
-    first = stored(first.select("doc_id", *bits, "at", "e.h").join(rest, "doc_id"), "prefixes")
+    first = stored(first.select("doc_id", *bits, "at", "e.h").join(rest, "doc_id"), "prefixes", into)
     mixed = first.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("c")).filter("x <> y")
-    first = met(first, stored(mixed.select("h", "c"), "mixed"), ["h"], "c")
+    first = met(first, stored(mixed.select("h", "c"), "mixed", into), ["h"], "c")
     side = lambda x: first.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "own", "at", *bits)])
     differ = " + ".join(f"bit_count({k}_a ^ {k}_b)" for k in bits)
     pairs = side("a").join(side("b"), "h").filter(
@@ -227,7 +227,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents whose shingle sets have a Jaccard similarity of at least
     percent / 100 are linked; a component's least id is kept."""
-    s = stored(signed(docs, id_col, text_col, shingle), "signed")
+    steps: list[DataFrame] = []
+    s = stored(signed(docs, id_col, text_col, shingle), "signed", steps)
     same = s.filter("f1 is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     same = stored(same.filter("c > 1"), "same")
     s = met(s, same, ["f1", "f2", "n"], "c", "left")
@@ -235,32 +236,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     reps = s.filter("doc_id = rep AND sig IS NOT NULL").drop("rep").dropDuplicates(["doc_id", "sig"])
     keys = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.min_by("n", "doc_id").alias("n_lead"), F.count("*").alias("c"))
-    full = stored(full.filter("c > 1"), "full")
+    full = stored(full.filter("c > 1"), "full", steps)
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    rows = stored(met(keys, full, ["key"], "c"), "buckets")
+    rows = stored(met(keys, full, ["key"], "c"), "buckets", steps)
     texts = keyed(docs, id_col, text_col)
 
     def links(pairs: DataFrame, tag: str) -> DataFrame:
-        left = stored(_plausible(pairs.distinct(), reps, percent, miss), f"{tag}-plausible")
-        return stored(_confirmed(left, texts, shingle, percent), f"{tag}-links")
+        left = stored(_plausible(pairs.distinct(), reps, percent, miss), f"{tag}-plausible", steps)
+        return stored(_confirmed(left, texts, shingle, percent), f"{tag}-links", steps)
 
     first = rows.filter("doc_id <> lead").select(
         F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b")
     )
     found = links(first.filter(near).select("a", "b"), "lead")
-    known = components(found)
+    known = components(found, steps)
     labelled = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", "n", "lead", F.coalesce("component", "doc_id").alias("own")
     )
-    labelled = stored(labelled, "labelled")
+    labelled = stored(labelled, "labelled", steps)
     mixed = labelled.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("c")).filter("x <> y")
-    rest = met(labelled, stored(mixed.select("key", "c"), "mixed"), ["key"], "c").filter("doc_id <> lead").select("doc_id", "n", "own")
-    second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest"), texts, shingle, percent, miss)
+    rest = met(labelled, stored(mixed.select("key", "c"), "mixed", steps), ["key"], "c").filter("doc_id <> lead").select("doc_id", "n", "own")
+    second = _prefix_pairs(stored(rest.dropDuplicates(["doc_id"]), "rest", steps), texts, shingle, percent, miss, steps)
     more = links(second, "rest")
-    whole = components(found.unionByName(more))
+    whole = components(found.unionByName(more), steps)
     sizes = same.groupBy("rep").agg(F.sum("c").alias("c"))
     whole = whole.withColumnRenamed("node", "rep").join(sizes, "rep", "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    out = met(s, stored(whole, "whole"), ["rep"], "c", "left")
+    whole = stored(whole, "whole")
+    discard(steps)
+    out = met(s, whole, ["rep"], "c", "left")
     component = F.coalesce("component", "rep")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
