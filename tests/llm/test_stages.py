@@ -1,5 +1,7 @@
 """Each pipeline stage on empty tables, null ids, equal ids and clashing columns."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,23 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Far)
+
+
+def test_stored_tables_leave_the_driver_no_free_memory(spark):
+    jvm = spark.sparkContext._jvm
+    pid, unsafe = jvm.java.lang.ProcessHandle.current().pid(), jvm.org.apache.spark.unsafe.Platform
+    resident = lambda: int(Path(f"/proc/{pid}/statm").read_text().split()[1]) * 4096 / 1e6
+    common.stored(spark.range(1), "first")
+    places, pins = [], []
+    for _ in range(1000):
+        places.append(unsafe.allocateMemory(100_000))
+        pins.append(unsafe.allocateMemory(1000))
+        unsafe.setMemory(places[-1], 1, 100_000)
+    full = resident()
+    for place in places:
+        unsafe.freeMemory(place)
+    common.stored(spark.range(1), "second")
+    left = resident()
+    for place in pins:
+        unsafe.freeMemory(place)
+    assert left < full - 70

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ def stored(df: DataFrame, tag: str, into: list | None = None) -> DataFrame:
     df.write.parquet(path)
     system, target = _folder(spark, path)
     system.deleteOnExit(target)
+    spare(spark)
     out = spark.read.schema(schema).parquet(path)
     out._tidemark_path = path
     if into is not None:
@@ -87,6 +90,29 @@ def release() -> None:
         trim(0)
 
 
+def spare(spark: SparkSession) -> None:
+    """The same for the driver's JVM: compilers and the threads of its pools leave free pieces all over the allocator's
+    arenas, and a heap that one step's plans have grown would stay so. The heap is collected only where it takes more than
+    half of its limit and has grown since it was last collected here. A JVM without the command to trim keeps its pieces."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > max(runtime.maxMemory() // 2, getattr(spark.sparkContext, "_tidemark_heap", 0)):
+        gc.collect()
+        jvm.java.lang.System.gc()
+        spark.sparkContext._tidemark_heap = runtime.totalMemory()
+    named = jvm.java.lang.Class.forName
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = named(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # by the interface's method, as the server's own class is not exported
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        pass
+
+
 def lean(run):
     """run, a function of mapInArrow, that releases memory at the end of each task."""
 
