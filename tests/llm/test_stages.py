@@ -1,5 +1,6 @@
 """Each pipeline stage on empty tables, null ids, equal ids and clashing columns."""
 
+import time
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, near_dedup, pii, quality_rules, substring_dedup
 
 STAGES = {"quality": quality_rules.stage, "near": near_dedup.stage, "passages": substring_dedup.stage, "pii": pii.stage}
+FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORDS = [f"w{k}" for k in range(400)]
 
 
@@ -97,3 +99,34 @@ def test_stored_tables_leave_the_driver_no_free_memory(spark):
     for place in pins:
         unsafe.freeMemory(place)
     assert left < full - 70
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {p.name for folder in disk.localDirsString() for p in Path(folder).rglob("shuffle_*")}
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(3)
+    both = rows.join(rows.groupBy("k").count().hint("merge"), "k")
+    before, setting = found(), spark.conf.get(FILES, None)
+    kept = common.stored(both, "both")
+    until = time.time() + 10  # executors are told, not waited for
+    while found() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not found() - before and spark.conf.get(FILES, None) == setting
+    assert kept.count() == both.count() == 1000
+
+
+def test_passages_read_the_texts_last_without_earlier_tables(spark, monkeypatch, tmp_path):
+    there = {}
+
+    def spied(df, tag, into=None):
+        there[tag] = {p.name.split("-")[1] for p in tmp_path.iterdir()}
+        return common.stored(df, tag, into)
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(substring_dedup, "stored", spied)
+    monkeypatch.setattr(substring_dedup, "BROADCAST", -1)
+    passage = " ".join(WORDS[:40])
+    docs = frame(spark, [(1, passage), (2, passage + " tail of two"), (3, "an entirely different text")])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.op8(docs).collect()}
+    assert got == {1: (40, 0), 2: (43, 40), 3: (4, 0)}
+    assert there["segments"] == {"plain", "hot"} and there["cut"] == {"plain", "marked"}

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -38,13 +39,28 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Within it, the shuffle files of a query that is begun and run go as it ends. Else they stay until the driver happens
+    to collect its garbage, so that the disk that a chain of queries takes would depend on the time of that."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, tag: str, into: list | None = None) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later readers neither recompute it nor lose it
-    with an executor. Removed when the application ends, or by discard(); into: a list that gets it."""
+    with an executor, and its shuffle files go. Removed when the application ends, or by discard(); into: a list that gets
+    it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with freed(spark):
+        df.write.parquet(path)
     system, target = _folder(spark, path)
     system.deleteOnExit(target)
     spare(spark)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, counted, discard, fresh, keyed, lean, met, release, stored, told_apart
+from .common import columns, counted, discard, freed, fresh, keyed, lean, met, release, stored, told_apart
 from .hashing import mix, runs, spans, text_batches, words
 
 SIZE, GRAM = 20, 8
@@ -297,7 +297,8 @@ def _cut(d: DataFrame, size: int, with_text: bool) -> DataFrame:
 
 
 def _marked(parts: DataFrame, distinct: DataFrame, size: int, into: list) -> DataFrame:
-    """doc_id, f1, f2 and windows (the starts of those that start earlier elsewhere), by the automata of dealt shards."""
+    """doc_id, f1, f2 and windows (the starts of those that start earlier elsewhere), by the automata of dealt shards; into
+    gets what it reads."""
     located = stored(_located(distinct, size), "located", into)
     placed = parts.select("doc_id", "f1", "f2", "start", "k1", "k2").join(located, ["k1", "k2"])
     starts = F.filter(
@@ -317,29 +318,38 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """doc_id, f1, f2, n_words, n_removed and kept: the digest of the words left, joined by spaces, or these words
     themselves (null where nothing goes). One row for each row of docs."""
     d = keyed(docs, id_col, text_col)
+    early: list[DataFrame] = []
     steps: list[DataFrame] = []
-    scan = stored(_scanned(d, size), "scanned")
+    scan = stored(_scanned(d, size), "scanned", early)
     real = scan.filter(F.col("doc_id").isNotNull())
     same = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-    scan = met(scan, stored(same, "same"), ["f1", "f2"], "c", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
+    scan = met(scan, stored(same, "same", early), ["f1", "f2"], "c", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
     anchors = scan.filter("doc_id IS NOT NULL AND NOT copy").select("doc_id", "f1", "f2", F.explode("anchors").alias("h"))
-    again = counted(anchors, "h", into=steps).withColumn("heavy", F.col("count") > HEAVY)
+    again = counted(anchors, "h", into=early).withColumn("heavy", F.col("count") > HEAVY)
     hot = again.groupBy("doc_id", "f1", "f2").agg(F.collect_set(F.struct("h", "heavy")).alias("hot"))
     hot = stored(hot, "hot", steps)
+    scan = stored(scan.drop("anchors", "rep"), "plain")
+    discard(early)
     shards = max(1, (hot.agg(F.sum(F.size("hot"))).first()[0] or 0) // SHARD)
     parts = stored(_segments(d.join(hot, "doc_id"), size, shards), "segments", steps)
     distinct = parts.groupBy("shard", "k1", "k2").agg(
         F.min(F.struct("doc_id", "start")).alias("at"), F.any_value("segment").alias("segment"), F.count("*").alias("c")
     )
     distinct = distinct.select("shard", "k1", "k2", "at.doc_id", "at.start", "segment")
-    total = parts.groupBy("k1", "k2").agg(F.any_value("size").alias("size")).agg(F.sum("size")).first()[0] or 0
+    with freed(d.sparkSession):
+        total = parts.groupBy("k1", "k2").agg(F.any_value("size").alias("size")).agg(F.sum("size")).first()[0] or 0
     if total <= BROADCAST:
         ids = hot.select("doc_id", "f1", "f2")
-        cut = stored(_streamed(d.join(ids, "doc_id"), distinct, size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+        cut = _streamed(d.join(ids, "doc_id"), distinct, size, with_text)
     else:
-        cut = stored(_cut(d.join(_marked(parts, distinct, size, steps), "doc_id"), size, with_text).dropDuplicates(["doc_id", "f1", "f2"]), "cut")
+        late: list[DataFrame] = []
+        marked = stored(_marked(parts, distinct, size, steps), "marked", late)
+        discard(steps)  # before all texts are shuffled once more
+        steps = late
+        cut = _cut(d.join(marked, "doc_id"), size, with_text)
+    cut = stored(cut.dropDuplicates(["doc_id", "f1", "f2"]), "cut")
     discard(steps)
-    out = scan.drop("anchors", "rep").join(cut, ["doc_id", "f1", "f2"], "left")
+    out = scan.join(cut, ["doc_id", "f1", "f2"], "left")
     all_gone = F.col("copy") & (F.col("n_words") >= size)
     nothing = F.lit("") if with_text else F.lit(_digest([]))
     stays = F.lit(None).cast("string") if with_text else F.col("whole")
